@@ -13,11 +13,12 @@ rarest shingles of each set, among which any partner must be met, and each
 candidate is verified on whole sets.  A set is light where enumerating costs
 no more than scanning its lists would, and at most MAX_SUBSETS rows.
 
-Long lists are not expanded into pairs.  First each entry is compared with one
-hub of its list; what is connected thereby needs no further comparison, and
-only entries of one list that are in different components yet are paired.
-The components are those of the full join: every pair that is skipped is
-already connected.
+Lists that share sets are scanned together, as one cohort, so that each set is
+sent there once.  Scanning counts common shingles of all sets of a block at
+once, by a product of the block's membership matrices; a cohort of many sets
+is cut into blocks, which meet in cells.  A cell gives a forest of its links,
+never its pairs.  A cohort beyond MOST_COHORT, which only chains of unrelated
+lists could make, is scanned list by list instead.
 
 Shingles and classes are 64-bit hashes: among n of them a false match has a
 probability of about n*n / 2**65.
@@ -40,6 +41,8 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 #: Most subsets that a light set may enumerate.
 MAX_SUBSETS = 64
+#: Sets of a block; columns of a membership matrix that are multiplied at once; sets of a cohort.
+BLOCK, COLUMNS, MOST_COHORT = 256, 4096, 50_000
 #: Shingles that a task gathers before it deals them out.
 FLUSH = 2_000_000
 
@@ -220,27 +223,65 @@ def _sets_batch(out: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of pairs whose sets reach the similarity."""
+def _cell_links(keys: np.ndarray, n: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links among sets, or between the two sides of them."""
+    sizes = np.array([len(x) for x in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    column = (np.cumsum(count > 1) - 1)[token]  # a token of one set here is in no intersection
+    keep = count[token] > 1
+    row, column = row[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    a, b = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    common = np.zeros((len(a), len(b)))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [lo, lo + COLUMNS])
+        held = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - lo)), np.float32)
+        held[row[i:j], column[i:j] - lo] = 1
+        common += held[a] @ held[b].T  # whole numbers below 2**24, so exact
+    i, j = np.nonzero(100 * common >= percent * (n[a][:, None] + n[b][None, :] - common))
+    i, j = a[i], b[j]
+    i, j = i[i != j], j[i != j]
+    root = np.arange(len(sets))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    own = np.flatnonzero(root != np.arange(len(sets)))
+    return keys[own], keys[root[own]]
+
+
+def _scan(percent: int):
+    """Links of each cell of rows sorted by (g, cell); a cell is of bounded size."""
+
+    def of(held):
+        if sum(map(len, held)) < 2:
+            return
+        t = pa.Table.from_batches(held)
+        a, b = _cell_links(t["key"].to_numpy(), t["n"].to_numpy(), t["x"].to_numpy(), [c.split_arrays(x)[0] for x in t["shared"].to_pylist()], percent)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
+        held, name = [], None
         for batch in batches:
-            a, b, n, m, x, y = batch.columns
-            ok = np.zeros(len(batch), bool)
-            for i in range(len(batch)):
-                u, v = c.split_arrays(x[i].as_py())[0], c.split_arrays(y[i].as_py())[0]
-                both = np.sort(np.concatenate([u, v]))
-                common = int((both[1:] == both[:-1]).sum())
-                ok[i] = 100 * common >= percent * (n[i].as_py() + m[i].as_py() - common)
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], names=["a", "b"])
-
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("shared").alias("xa"))
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
+            if not len(batch):
+                continue
+            cell = np.stack([batch.column(x).to_numpy() for x in ("g", "cell")], axis=1)
+            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if tuple(cell[i]) != name:
+                    yield from of(held)
+                    held, name = [], tuple(cell[i])
+                held.append(batch.slice(i, j - i))
+        yield from of(held)
 
-
-def _fits(percent: int, n: str, m: str):
-    return F.greatest(n, m) * percent <= F.least(n, m) * 100
+    return run
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, percent: int = PERCENT, max_subsets: int = MAX_SUBSETS) -> DataFrame:
@@ -269,22 +310,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = met.groupBy("lo", "hi", "h").agg(of("lo").alias("a"), of("hi").alias("b"), F.count("*").alias("c")).where("c > 1 and a is not null and b is not null")
     light = met.join(hubs, ["lo", "hi", "h"]).select("key", F.when(F.col("n") == F.col("lo"), F.col("b")).otherwise(F.col("a")).alias("hub")).where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
 
-    # heavy: each list's entries against its hub, which is heavy if any is
-    lists = sets.select("key", "n", "light", F.explode("prefix").alias("h"))
-    hub = lists.groupBy("h").agg(F.min(F.struct("light", "key", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1 and not hub.light").select("h", F.col("hub.key").alias("hub"), F.col("hub.n").alias("m"))
-    first = lists.join(hub, "h").where((F.col("key") != F.col("hub")) & _fits(percent, "n", "m")).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    first = c.written(first, "first")
-    links = c.written(_verified(first, sets, percent).unionByName(light), "links")
-
-    # what is in one list and not yet connected
-    labels = components(links, "a", "b").select(F.col("node").alias("key"), "component")
-    named = lists.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    apart = named.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("light").alias("light")).where("x <> y and not light").select("h")
-    rest = c.written(named.join(apart, "h", "left_semi"), "rest")
-    left = rest.select("h", F.col("key").alias("a"), F.col("n").alias("na"), F.col("light").alias("la"), F.col("component").alias("ca"))
-    right = rest.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("light").alias("lb"), F.col("component").alias("cb"))
-    cross = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~(F.col("la") & F.col("lb")) & _fits(percent, "na", "nb")).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    all_links = links.unionByName(_verified(c.written(cross, "cross"), sets, percent))
+    # heavy: lists that any heavy set is in, joined where they share sets
+    lists = sets.select("key", "light", F.explode("prefix").alias("h"))
+    hub = lists.groupBy("h").agg(F.min("key").alias("hub"), F.count("*").alias("c"), F.min("light").alias("light")).where("c > 1 and not light").select("h", "hub")
+    entries = c.written(lists.join(hub, "h").select("key", "h", "hub"), "lists")
+    cohorts = c.written(components(entries.select("key", "hub"), "key", "hub").select(F.col("node").alias("key"), F.col("component").alias("g")), "cohorts")
+    large = cohorts.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > MOST_COHORT).select("g")
+    listed = entries.join(cohorts.join(large, "g", "left_semi"), "key").select("key", F.col("h").alias("g"))
+    grouped = c.written(cohorts.join(large, "g", "left_anti").select("key", "g").unionByName(listed), "grouped")
+    blocks = grouped.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cells = grouped.join(blocks, "g").withColumn("x", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("g", (F.least("x", "y") * F.col("blocks") + F.greatest("x", "y")).alias("cell"), "x", "key").join(sets.select("key", "n", "shared"), "key")
+    heavy = cells.repartition(parts, "g", "cell").sortWithinPartitions("g", "cell").mapInArrow(_scan(percent), "a long, b long")
+    all_links = c.written(heavy.unionByName(light), "links")
 
     of_class = components(all_links, "a", "b").select(F.col("node").alias("key"), "component")
     named = meta.join(of_class, "key", "left").withColumn("component", F.coalesce("component", "key"))
