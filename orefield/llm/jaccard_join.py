@@ -331,10 +331,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs whose id is their component's least; all columns are kept.
+    """docs without the rows whose id isn't their component's least; all columns are kept.
 
-    Rows without words are kept.  Of rows that share both id and component,
-    all are kept or none.
+    Rows without words and rows without an id are kept; rows that share an id
+    are kept or dropped alike.  The ids that go are written first, so Spark
+    knows their size and broadcasts them only if they are few.
     """
-    kept = jaccard_components(docs, id_col, text_col, **kw).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept.distinct(), F.col(id_col) == F.col("__kept"), "left_semi")
+    gone = jaccard_components(docs, id_col, text_col, **kw).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(c.written(gone.coalesce(c.partitions(docs.sparkSession)), "gone"), F.col(id_col) == F.col("__gone"), "left_anti")
