@@ -93,7 +93,8 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return written(own.withColumn("key", key_of(F.col("doc_id"), F.col("size"))), "sized")
 
 
-_PART = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.col("cut_words")).otherwise(0)
+def _part() -> Column:
+    return F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.col("cut_words")).otherwise(0)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -110,7 +111,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     found = cuts(sized, weights, epochs).withColumnRenamed("source", "s")
     out = sized.join(found, _same(F.col("source"), F.col("s")))
     whole = (F.col("size") > 0) & (F.col("key") < F.col("cut_key"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + _PART).alias("taken"), F.when(F.col("size") > 0, F.col("epochs") + whole.cast("long")).otherwise(0).alias("copies"), F.when(whole, F.lit(0)).otherwise(_PART).alias("part"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + _part()).alias("taken"), F.when(F.col("size") > 0, F.col("epochs") + whole.cast("long")).otherwise(0).alias("copies"), F.when(whole, F.lit(0)).otherwise(_part()).alias("part"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:

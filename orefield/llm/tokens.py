@@ -12,10 +12,12 @@ import os
 import re
 
 #: Remembered pieces, and their bytes, beyond which a worker starts afresh.
-MOST_PIECES = 800_000
-MOST_BYTES = 96 << 20
+MOST_PIECES = 1_100_000
+MOST_BYTES = 128 << 20
 
 _CUT = re.compile(r" (?=\S)")
+#: A piece of letters and then marks; the pattern parts these two.
+_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-^`{-~]+)")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -29,6 +31,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.bytes = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -39,12 +42,16 @@ class Encoder:
     def learn(self, parts: set[str]) -> bool:
         """Remember these pieces (without their leading space); False if one is empty or begins with white space, which no piece does."""
         if len(self.known) > MOST_PIECES or self.bytes > MOST_BYTES:
-            self.known, self.bytes = {}, 0
+            self.known, self.marks, self.bytes = {}, {}, 0
         new = sorted(parts.difference(self.known))
         fine = [x for x in new if x and not x[0].isspace()]
-        for i in range(0, len(fine), 4096):
-            some = fine[i : i + 4096]
-            self.known.update(zip(some, self._encode([f" {x}" for x in some]), strict=True))
+        split = [(x, m[1], m[2]) for x in fine if (m := _WORD_AND_MARKS.fullmatch(x))]
+        whole = {x for x, _, _ in split}
+        some = [x for x in fine if x not in whole] + sorted({w for _, w, _ in split}.difference(self.known, fine))
+        marks = sorted({t for _, _, t in split}.difference(self.marks))
+        self.known.update(zip(some, self._encode([f" {x}" for x in some]), strict=True))
+        self.marks.update(zip(marks, self._encode(marks), strict=True))
+        self.known.update((x, self.known[w] + self.marks[t]) for x, w, t in split)
         self.bytes += sum(map(len, fine))
         return len(fine) == len(new)
 
