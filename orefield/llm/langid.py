@@ -24,9 +24,9 @@ GRAMS = (2, 3, 4)
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 #: Most documents of a language, and most languages, that the classifier is fitted on.
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 500
 LANGUAGES = 400
-EPOCHS = 5
+EPOCHS = 10
 RATE = 0.5
 #: Share of right predictions, on the part held back, that rejection may cost.
 REJECTED = 0.001
@@ -109,13 +109,14 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mod
     w = rng.normal(0, 0.1, (DIMENSIONS, len(languages)))
     bias = np.zeros(len(languages))
     code = {x: k for k, x in enumerate(languages)}
-    rows = [(code[x], b, n / n.sum()) for x, b, n in samples if len(b)]
+    rows = [(code[x], b, n, int(n.sum())) for x, b, n in samples if len(b)]  # narrow integers: the driver holds them all
     train = [r for k, r in enumerate(rows) if k % 5]
     back = [r for k, r in enumerate(rows) if not k % 5]
     steps, done = EPOCHS * len(train), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(train)):
-            y, b, share = train[k]
+            y, b, n, total = train[k]
+            b, share = b.astype(np.int64), n / total
             rate = RATE * (1 - done / steps)
             v = share @ e[b]
             g = _softmax(v @ w + bias)
@@ -128,7 +129,7 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mod
     scores = (e @ w).astype(np.float32)
     model = Model(languages, scores, bias, 1.0, 0.0)
     if back:
-        z = np.stack([share @ scores[b] + bias for _, b, share in back])
+        z = np.stack([(n / total) @ scores[b] + bias for _, b, n, total in back])
         y = np.array([r[0] for r in back])
         loss = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-300)).mean() for t in np.geomspace(0.05, 20, 60)}
         model.temperature = float(min(loss, key=loss.get))
@@ -166,12 +167,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 order = np.argsort(of, kind="stable")
                 cuts = np.searchsorted(of[order], np.arange(rows + 1))
                 pairs = [np.unique(buckets[order[a:b]], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([key.slice(at, rows), lang.slice(at, rows), pa.array([c.join_arrays(x.astype(np.uint32), n.astype(np.uint32)) for x, n in pairs], pa.binary())], names=["id", "lang", "grams"])
+                yield pa.RecordBatch.from_arrays([key.slice(at, rows), lang.slice(at, rows), pa.array([c.join_arrays(x.astype(np.uint16), c.narrow(n)) for x, n in pairs], pa.binary())], names=["id", "lang", "grams"])
                 at += rows
 
     rows = own.where(share.isNotNull() & (draw < share)).select("id", "text", "lang").mapInArrow(run, "id string, lang string, grams binary").collect()
     rows.sort(key=lambda r: (r.id or "", r.lang, bytes(r.grams)))
-    return fit([(r.lang, *(x.astype(np.int64) for x in c.split_arrays(bytes(r.grams)))) for r in rows])
+    return fit([(r.lang, *c.split_arrays(bytes(r.grams))) for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
