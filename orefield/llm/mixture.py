@@ -93,6 +93,12 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return written(own.withColumn("key", key_of(F.col("doc_id"), F.col("size"))), "sized")
 
 
+def _few(found: DataFrame) -> DataFrame:
+    """found, written; to be broadcast if its rows, one for each source, are few enough."""
+    found = written(found, "cuts")
+    return F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+
+
 def _part() -> Column:
     return F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.col("cut_words")).otherwise(0)
 
@@ -108,7 +114,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     alike.  Other columns are not looked at.  No rows: no rows.
     """
     sized = _sized(docs, id_col, text_col, source_col)
-    found = cuts(sized, weights, epochs).withColumnRenamed("source", "s")
+    found = _few(cuts(sized, weights, epochs)).withColumnRenamed("source", "s")
     out = sized.join(found, _same(F.col("source"), F.col("s")))
     whole = (F.col("size") > 0) & (F.col("key") < F.col("cut_key"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + _part()).alias("taken"), F.when(F.col("size") > 0, F.col("epochs") + whole.cast("long")).otherwise(0).alias("copies"), F.when(whole, F.lit(0)).otherwise(_part()).alias("part"))
@@ -120,9 +126,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     All columns are kept; the text is the only one that changes.
     """
     sized = _sized(docs, id_col, text_col, source_col)
-    found = written(cuts(sized, weights, epochs).select(*(F.col(x).alias(f"__{x}") for x in ("source", "epochs", "cut_key", "cut_words"))), "cuts")
-    if found.count() <= MOST_BROADCAST:
-        found = F.broadcast(found)
+    found = _few(cuts(sized, weights, epochs)).select(*(F.col(x).alias(f"__{x}") for x in ("source", "epochs", "cut_key", "cut_words")))
     own = docs.withColumn("__size", size_of(text_col)).withColumn("__key", key_of(F.col(id_col), F.col("__size")))
     own = own.join(found, _same(F.col(source_col).cast("string"), F.col("__source"))).where("__size > 0")
     times = F.col("__epochs") + (F.col("__key") < F.col("__cut_key")).cast("long")
