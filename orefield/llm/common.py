@@ -93,6 +93,15 @@ def importable(spark: SparkSession) -> None:
     sc._orefield_sent = True
 
 
+#: Called where a worker turns to another operator, to give back what it remembers for its last one.
+forgetters: list = []
+
+
+def forget() -> None:
+    for f in forgetters:
+        f()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

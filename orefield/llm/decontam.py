@@ -98,6 +98,7 @@ def _marked(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str,
 
     def over(block):
         def run(batches):
+            c.forget()
             for batch in batches:
                 n, hits, items = [], [], []
                 before = zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True)

@@ -44,7 +44,9 @@ MAX_SUBSETS = 64
 #: Sets of a block; columns of a membership matrix that are multiplied at once; sets of a cohort.
 BLOCK, COLUMNS, MOST_COHORT = 256, 4096, 50_000
 #: Shingles that a task gathers before it deals them out.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+#: Shingles that are sorted at once when they are merged.
+SORTED = 250_000
 
 _DEALT = "p int, doc_id long, n long, key long, blob binary"
 _MERGED = "p int, doc_id long, n long, key long, blob binary"
@@ -76,6 +78,7 @@ def set_key(s: np.ndarray) -> int:
 
 def _deal(k: int, buckets: int):
     def run(batches):
+        c.forget()
         sets, keys, held = [], [], 0
 
         def flush():
@@ -119,42 +122,59 @@ def _deal(k: int, buckets: int):
     return run
 
 
+def _repeated(parts: list[tuple[np.ndarray, ...]], buckets: int):
+    """The shingles of parts that two classes hold at least, dealt by class."""
+    h = np.concatenate([x[0] for x in parts])
+    if not len(h):
+        return
+    key = np.concatenate([x[2][x[1]] for x in parts])
+    n = np.concatenate([x[3][x[1]].astype(np.uint32) for x in parts])
+    order = np.lexsort((key, h))
+    h, key, n = h[order], key[order], n[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])  # copies count once
+    h, key, n = h[new], key[new], n[new]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    held = np.diff(np.append(first, len(h)))
+    df = np.repeat(held, held)
+    keep = df > 1
+    h, key, n, df = h[keep], key[keep], n[keep], df[keep]
+    order = np.argsort(key.view(U64), kind="stable")
+    h, key, n, df = h[order], key[order], n[order], df[order]
+    cuts = np.searchsorted(c.range_bucket(key.view(U64), buckets), np.arange(buckets + 1))
+    p, blobs = [], []
+    for b in np.flatnonzero(np.diff(cuts)):
+        a, z = cuts[b], cuts[b + 1]
+        own, first, at = np.unique(key[a:z], return_index=True, return_inverse=True)
+        p.append(b)
+        blobs.append(c.join_arrays(h[a:z], c.narrow(at), own, c.narrow(n[a:z][first]), c.narrow(df[a:z])))
+    none = pa.nulls(len(p), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), none, none, none, pa.array(blobs, pa.binary())], names=["p", "doc_id", "n", "key", "blob"])
+
+
 def _merge(buckets: int):
     """Of a range of shingles: those of two classes at least, dealt by class, with their numbers of classes."""
 
     def run(batches):
-        parts = []
+        c.forget()
+        parts = []  # (hashes in ascending order, number of each one's class, classes, their sizes)
         for batch in batches:
             blob = batch.column(4)
             yield batch.filter(blob.is_null())
-            parts += [c.split_arrays(x.as_py()) for x in blob if x.is_valid]
+            for x in blob:
+                if x.is_valid:
+                    h, at, key, n = c.split_arrays(x.as_py())
+                    parts.append((np.cumsum(h, dtype=U64), at, key, n))
         if not parts:
             return
-        h = np.concatenate([np.cumsum(p[0], dtype=U64) for p in parts])
-        key = np.concatenate([p[2][p[1]] for p in parts])
-        n = np.concatenate([p[3][p[1]].astype(np.int64) for p in parts])
-        parts.clear()
-        order = np.lexsort((key, h))
-        h, key, n = h[order], key[order], n[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])  # copies count once
-        h, key, n = h[new], key[new], n[new]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        held = np.diff(np.append(first, len(h)))
-        df = np.repeat(held, held)
-        keep = df > 1
-        h, key, n, df = h[keep], key[keep], n[keep], df[keep]
-        order = np.argsort(key.view(U64), kind="stable")
-        h, key, n, df = h[order], key[order], n[order], df[order]
-        cuts = np.searchsorted(c.range_bucket(key.view(U64), buckets), np.arange(buckets + 1))
-        p, blobs = [], []
-        for b in np.flatnonzero(np.diff(cuts)):
-            a, z = cuts[b], cuts[b + 1]
-            own, first, at = np.unique(key[a:z], return_index=True, return_inverse=True)
-            p.append(b)
-            blobs.append(c.join_arrays(h[a:z], c.narrow(at), own, c.narrow(n[a:z][first]), c.narrow(df[a:z])))
-        none = pa.nulls(len(p), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), none, none, none, pa.array(blobs, pa.binary())], names=["p", "doc_id", "n", "key", "blob"])
+        # by ranges of hashes, so that little is sorted and copied at once
+        ranges = max(1, sum(len(x[0]) for x in parts) // SORTED)
+        low, high = min(int(x[0][0]) for x in parts), max(int(x[0][-1]) for x in parts)
+        ends = [np.searchsorted(x[0], np.array([low + (high - low) * k // ranges for k in range(1, ranges)], U64)) for x in parts]
+        ends = [np.concatenate([[0], e, [len(x[0])]]) for e, x in zip(ends, parts, strict=True)]
+        for k in range(ranges):
+            own = [(x[0][e[k] : e[k + 1]], x[1][e[k] : e[k + 1]], x[2], x[3]) for x, e in zip(parts, ends, strict=True)]
+            yield from _repeated(own, buckets)
 
     return run
 

@@ -159,6 +159,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def run(batches):
+        c.forget()
         for batch in batches:
             key, text, lang = batch.columns
             at = 0
@@ -185,6 +186,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        c.forget()
         for batch in batches:
             names, scores, ok = shared.value.predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(ok, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "accepted"])
@@ -199,6 +201,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     at = docs.columns.index(text_col)
 
     def run(batches):
+        c.forget()
         for batch in batches:
             yield batch.filter(pa.array(shared.value.predict(batch.column(at))[2], pa.bool_()))
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 
+from orefield.llm import common
+
 #: Remembered pieces, and their bytes, beyond which a worker starts afresh.
 MOST_PIECES = 1_100_000
 MOST_BYTES = 128 << 20
@@ -75,6 +77,9 @@ class Encoder:
         return out
 
 
+common.forgetters.append(_encoders.clear)
+
+
 def encoder(definition: str) -> Encoder:
     """This process's encoder for a definition."""
     if definition not in _encoders:
