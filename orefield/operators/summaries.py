@@ -61,13 +61,13 @@ def dgim_counts(bits: DataFrame, windows: tuple[int, ...] = WINDOWS, whole_oldes
     """(window, ones): DGIM's estimate of the ones among the last window elements.
 
     The buckets whose newest one is in the window count in full, the oldest of
-    them by half, rounded down; whole_oldest counts it in full and by half.
+    them by half, rounded up (a single one is in the window for certain);
+    whole_oldest counts it in full and by half, rounded down.
     """
     n = bits.agg(F.count("*").alias("n"))  # one row
     rows = dgim_buckets(bits).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(bits.sparkSession.createDataFrame([(w,) for w in windows], "window int")))
     inside = rows.where(F.col("last") >= F.col("n") - F.col("window")).groupBy("window").agg(F.sum("ones").alias("s"), F.min(F.struct("last", "ones"))["ones"].alias("oldest"))
-    half = F.floor(F.col("oldest") / 2)
-    estimate = F.col("s") + half if whole_oldest else F.col("s") - F.col("oldest") + half
+    estimate = F.col("s") + F.floor(F.col("oldest") / 2) if whole_oldest else F.col("s") - F.col("oldest") + F.ceil(F.col("oldest") / 2)
     every = bits.sparkSession.createDataFrame([(w,) for w in windows], "window int")
     return every.join(inside, "window", "left").select("window", F.coalesce(estimate, F.lit(0)).cast("long").alias("ones"))
 

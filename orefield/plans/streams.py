@@ -22,7 +22,7 @@ levels AS (
 ), buckets AS (
   SELECT level, (rank - before) // size AS bucket, count(*) AS ones, max(seq) AS last, any_value(n) AS n FROM ones JOIN levels ON levels.m > 0 AND rank >= before AND rank < before + size * (CASE WHEN levels.m % 2 = 0 THEN 2 ELSE 1 END) GROUP BY 1, 2
 ), inside AS (SELECT win, sum(ones) AS s, arg_min(ones, last) AS oldest FROM windows JOIN buckets ON last >= n - win GROUP BY win)
-SELECT win::INT AS "window", coalesce(s - oldest + oldest // 2, 0)::BIGINT AS ones FROM windows LEFT JOIN inside USING (win)"""
+SELECT win::INT AS "window", coalesce(s - oldest + (oldest + 1) // 2, 0)::BIGINT AS ones FROM windows LEFT JOIN inside USING (win)"""
 
 
 def _ordered(spark, sf_dir):

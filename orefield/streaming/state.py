@@ -49,9 +49,9 @@ class Dgim:
         self.n += 1
 
     def estimate(self, window: int) -> int:
-        """Ones among the last window bits: buckets inside in full, the oldest of them by half."""
+        """Ones among the last window bits: buckets inside in full, the oldest of them by half, rounded up."""
         sizes = [1 << k for k, level in enumerate(self.levels) for last in level if last >= self.n - window]
-        return sum(sizes) - sizes[-1] + sizes[-1] // 2 if sizes else 0
+        return sum(sizes) - sizes[-1] + (sizes[-1] + 1) // 2 if sizes else 0
 
 
 def dgim_stream(bits: DataFrame, key: str = "key", seq: str | tuple[str, ...] = "seq", bit: str = "bit", windows: tuple[int, ...] = WINDOWS) -> DataFrame:
