@@ -115,7 +115,30 @@ FROM docs d LEFT JOIN words h ON d.doc_id = h.doc_id LEFT JOIN named i ON d.doc_
 """
 
 
+_JACCARD_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) >= 5)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 4)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)
+), either_way AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM docs UNION SELECT e.b, root FROM reached JOIN either_way e ON reached.doc_id = e.a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, r.root AS component_id
+FROM docs d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN (SELECT doc_id, min(root) AS root FROM reached GROUP BY doc_id) r ON d.doc_id = r.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from orefield.llm import mixture, preference
 
-    return {"op5_preference": preference.SQL, "op6_decontaminate": _DECONTAMINATE_SQL, "op7_mixture": mixture.SQL}
+    return {"op5_preference": preference.SQL, "op6_decontaminate": _DECONTAMINATE_SQL, "op7_mixture": mixture.SQL, "op10_jaccard_join": _JACCARD_SQL}
