@@ -111,7 +111,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int, id_co
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # a hash parts rows that share an id; equal rows may stand in either order
     ordered = own.repartitionByRange(c.partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, _FRAMES).write.parquet(f"{path}/frames")
+    ordered.mapInArrow(c.tidy(run, keep=True), _FRAMES).write.parquet(f"{path}/frames")
     frames = spark.read.schema(_FRAMES).parquet(f"{path}/frames").select("part", "frame", "first", "n_ids", "n_docs")
     # one row for each partition that was written
     totals = frames.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count("*").alias("frames"))

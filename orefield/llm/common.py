@@ -10,6 +10,8 @@ collide with probability of about n*n / 2**65.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -102,6 +104,31 @@ def forget() -> None:
         f()
 
 
+def trim() -> None:
+    """Give memory that Python no longer uses back to the machine: workers live on and idle beside other stages' workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(run, keep: bool = False):
+    """run over Arrow batches, in a worker that first forgets what others remembered (unless keep) and trims its memory before and after."""
+
+    def own(batches):
+        if not keep:
+            forget()
+            trim()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return own
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

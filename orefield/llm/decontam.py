@@ -90,15 +90,18 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, blo
 _MARKS = "__words long, __hits binary, __items array<string>"
 
 
-def _marked(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
-    """docs with the number of words, a byte for each word that tells whether it is hit, and the items."""
+def _marked(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int, finish, schema) -> DataFrame:
+    """finish(batch, columns) of each batch of docs with three more columns: the number of words, a byte for each word that tells whether it is hit, and the items.
+
+    schema is the result's.  The last block's pass finishes its batches itself,
+    so that a task has one Python worker.
+    """
     c.importable(docs.sparkSession)
     docs = docs.withColumns({"__words": F.lit(None).cast("long"), "__hits": F.lit(None).cast("binary"), "__items": F.lit(None).cast("array<string>")})
     at = docs.columns.index(text_col)
 
-    def over(block):
+    def over(block, last):
         def run(batches):
-            c.forget()
             for batch in batches:
                 n, hits, items = [], [], []
                 before = zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True)
@@ -110,13 +113,15 @@ def _marked(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str,
                     hits.append(hit.tobytes())
                     items.append(sorted(found - {None}))
                 own = [pa.array(n, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *own], names=batch.schema.names)
+                batch = pa.RecordBatch.from_arrays([*batch.columns[:-3], *own], names=batch.schema.names)
+                yield finish(batch) if last else batch
 
-        return run
+        return c.tidy(run)
 
-    for i, block in enumerate(_blocks(benchmark, item_col, item_text_col, window, block_bytes)):
-        docs = (c.written(docs, "marked") if i else docs).mapInArrow(over(block), docs.schema)
-    return docs
+    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    for i, block in enumerate(blocks[:-1]):
+        docs = (c.written(docs, "marked") if i else docs).mapInArrow(over(block, False), docs.schema)
+    return (c.written(docs, "marked") if len(blocks) > 1 else docs).mapInArrow(over(blocks[-1], True), schema)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -129,17 +134,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     once.  Repeated documents have a row each.  Other columns are not looked at.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = _marked(own, "text", benchmark, item_col, item_text_col, window, block_bytes)
 
-    def run(batches):
-        for batch in batches:
-            hit = [int(np.frombuffer(x.as_py(), bool).sum()) for x in batch.column(2)]
-            items = batch.column(3).to_pylist()
-            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array([x > 0 for x in hit]), batch.column(3)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+    def finish(batch):
+        marks = batch.num_columns - 3
+        hit = [int(np.frombuffer(x.as_py(), bool).sum()) for x in batch.column(marks + 1)]
+        items = batch.column(marks + 2).to_pylist()
+        sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(marks), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), batch.column(marks + 2)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
     out = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-    return marked.select("doc_id", "__words", "__hits", "__items").mapInArrow(run, out)
+    return _marked(own, "text", benchmark, item_col, item_text_col, window, block_bytes, finish, out)
 
 
 def without_hits(text: str | None, hits: np.ndarray) -> str | None:
@@ -164,16 +168,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: documents or spans, not {remove!r}")
-    marked = _marked(docs, text_col, benchmark, item_col, item_text_col, window, block_bytes)
     at = docs.columns.index(text_col)
 
-    def run(batches):
-        for batch in batches:
-            hits = [np.frombuffer(x.as_py(), bool) for x in batch.column(batch.num_columns - 2)]
-            own = list(batch.columns[:-3])
-            if remove == "spans":
-                own[at] = pa.array([without_hits(t.as_py(), h) for t, h in zip(own[at], hits, strict=True)], own[at].type)
-            batch = pa.RecordBatch.from_arrays(own, names=batch.schema.names[:-3])
-            yield batch if remove == "spans" else batch.filter(pa.array([not h.any() for h in hits], pa.bool_()))
+    def finish(batch):
+        hits = [np.frombuffer(x.as_py(), bool) for x in batch.column(batch.num_columns - 2)]
+        own = list(batch.columns[:-3])
+        if remove == "spans":
+            own[at] = pa.array([without_hits(t.as_py(), h) for t, h in zip(own[at], hits, strict=True)], own[at].type)
+        batch = pa.RecordBatch.from_arrays(own, names=batch.schema.names[:-3])
+        return batch if remove == "spans" else batch.filter(pa.array([not h.any() for h in hits], pa.bool_()))
 
-    return marked.mapInArrow(run, docs.schema)
+    return _marked(docs, text_col, benchmark, item_col, item_text_col, window, block_bytes, finish, docs.schema)

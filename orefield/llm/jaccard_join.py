@@ -78,7 +78,6 @@ def set_key(s: np.ndarray) -> int:
 
 def _deal(k: int, buckets: int):
     def run(batches):
-        c.forget()
         sets, keys, held = [], [], 0
 
         def flush():
@@ -156,7 +155,6 @@ def _merge(buckets: int):
     """Of a range of shingles: those of two classes at least, dealt by class, with their numbers of classes."""
 
     def run(batches):
-        c.forget()
         parts = []  # (hashes in ascending order, number of each one's class, classes, their sizes)
         for batch in batches:
             blob = batch.column(4)
@@ -318,11 +316,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     c.importable(spark)
     parts = c.partitions(spark)
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_deal(k, parts), _DEALT)
-    merged = c.written(dealt.repartitionById(parts, F.col("p")).mapInArrow(_merge(parts), _MERGED), "shared")
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(c.tidy(_deal(k, parts)), _DEALT)
+    merged = c.written(dealt.repartitionById(parts, F.col("p")).mapInArrow(c.tidy(_merge(parts)), _MERGED), "shared")
     meta = merged.where("blob is null").select("doc_id", "n", "key")
     blobs = merged.where("blob is not null").select("p", "blob")
-    sets = c.written(blobs.repartitionById(parts, F.col("p")).select("blob").mapInArrow(_select(percent, max_subsets), _SETS), "sets")
+    sets = c.written(blobs.repartitionById(parts, F.col("p")).select("blob").mapInArrow(c.tidy(_select(percent, max_subsets)), _SETS), "sets")
 
     # light: all who meet at a subset of sizes (lo, hi) are linked, lo with hi
     met = sets.where("light").select("key", "n", F.explode("subsets").alias("s")).select("key", "n", "s.*")
@@ -341,7 +339,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = grouped.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cells = grouped.join(blocks, "g").withColumn("x", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("g", (F.least("x", "y") * F.col("blocks") + F.greatest("x", "y")).alias("cell"), "x", "key").join(sets.select("key", "n", "shared"), "key")
-    heavy = cells.repartition(parts, "g", "cell").sortWithinPartitions("g", "cell").mapInArrow(_scan(percent), "a long, b long")
+    heavy = cells.repartition(parts, "g", "cell").sortWithinPartitions("g", "cell").mapInArrow(c.tidy(_scan(percent)), "a long, b long")
     all_links = c.written(heavy.unionByName(light), "links")
 
     of_class = components(all_links, "a", "b").select(F.col("node").alias("key"), "component")

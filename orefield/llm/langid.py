@@ -159,7 +159,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def run(batches):
-        c.forget()
         for batch in batches:
             key, text, lang = batch.columns
             at = 0
@@ -171,7 +170,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pa.RecordBatch.from_arrays([key.slice(at, rows), lang.slice(at, rows), pa.array([c.join_arrays(x.astype(np.uint16), c.narrow(n)) for x, n in pairs], pa.binary())], names=["id", "lang", "grams"])
                 at += rows
 
-    rows = own.where(share.isNotNull() & (draw < share)).select("id", "text", "lang").mapInArrow(run, "id string, lang string, grams binary").collect()
+    rows = own.where(share.isNotNull() & (draw < share)).select("id", "text", "lang").mapInArrow(c.tidy(run), "id string, lang string, grams binary").collect()
     rows.sort(key=lambda r: (r.id or "", r.lang, bytes(r.grams)))
     return fit([(r.lang, *c.split_arrays(bytes(r.grams))) for r in rows])
 
@@ -186,13 +185,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        c.forget()
         for batch in batches:
             names, scores, ok = shared.value.predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(ok, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, accepted boolean")
+    return own.mapInArrow(c.tidy(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -201,8 +199,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     at = docs.columns.index(text_col)
 
     def run(batches):
-        c.forget()
         for batch in batches:
             yield batch.filter(pa.array(shared.value.predict(batch.column(at))[2], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(c.tidy(run), docs.schema)

@@ -14,7 +14,7 @@ import re
 from orefield.llm import common
 
 #: Remembered pieces, and their bytes, beyond which a worker starts afresh.
-MOST_PIECES = 1_100_000
+MOST_PIECES = 900_000
 MOST_BYTES = 128 << 20
 
 _CUT = re.compile(r" (?=\S)")
