@@ -51,6 +51,16 @@ def first_label(df: DataFrame, key: str, *order: str) -> DataFrame:
     return top_per_group(df, [key], 1, *order)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are threads, if its input has fewer.
+
+    For operators that compute much on each row; a large input has enough
+    partitions, and is not moved.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def numbered(df: DataFrame, order: str, ties: list[str], name: str = "position", pieces: int | None = None) -> DataFrame:
     """df with 0, 1, 2, ... in ascending order of a number or timestamp, then of ties, nulls first.
 
