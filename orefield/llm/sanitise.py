@@ -5,7 +5,10 @@ candidates for revealing it: over the whole corpus, the number of documents
 that hold an entity, a word, and the word near the entity give the pointwise
 mutual information of word and entity, as a share of the entity's own
 information.  At 1 the word never occurs without the entity.  Words above a
-threshold are generalised to a placeholder, above a higher one removed.
+threshold are generalised to a placeholder, above a higher one removed.  A pair
+in few documents may be chance, so its mutual information is taken as a share
+of the pair's information, which is the entity's own where the word is in all
+of its documents: an entity of one document counts in full.
 
 One pass over the texts finds the mentions and their words and counts the
 documents of every word; counts are packed by range of the words' hashes and
@@ -28,7 +31,7 @@ from orefield.llm.common import U64
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of a mention that may reveal it.
 NEAR_WORDS = 8
-#: Documents that must hold word and entity together.
+#: Documents from which on a pair counts as a share of the entity's information; with fewer, of the pair's.
 SUPPORT = 3
 #: Shares of an entity's information from which a word that gives it away is generalised, or removed.
 GENERALISE, REMOVE = 0.6, 0.9
@@ -207,13 +210,13 @@ def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entities = mentions.select("doc", "entity").distinct().groupBy("entity").agg(F.count("*").alias("held"))
     near_terms = mentions.select("doc", "entity", F.explode("terms").alias("t")).select("doc", "entity", "t.*")
     # documents of the pair: equal texts under one id count once
-    pairs = near_terms.select("doc", "entity", "h").distinct().groupBy("entity", "h").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    pairs = near_terms.select("doc", "entity", "h").distinct().groupBy("entity", "h").agg(F.count("*").alias("both"))
     top = F.shiftrightunsigned("h", 32)
     pairs = pairs.withColumn("p", F.shiftright(top * buckets, 32).cast("int")).withColumn("blob", F.lit(None).cast("binary"))
     counts = table.where("blob is not null").select(F.lit(None).cast("string").alias("entity"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("both"), "p", "blob")
     counted = pairs.select("entity", "h", "both", "p", "blob").unionByName(counts).repartitionById(buckets, F.col("p")).mapInArrow(_with_document_counts(buckets), "entity string, h long, both long, docs long")
     all_docs = F.lit(float(max(n, 2)))
-    information = F.log(all_docs / F.col("held"))
+    information = F.log(all_docs / F.when(F.col("both") >= support, F.col("held")).otherwise(F.col("both")))
     shared = F.log(F.col("both") * all_docs / (F.col("held") * F.col("docs")))
     strong = counted.join(entities, "entity").where("held * 2 <= %d" % max(n, 2)).withColumn("share", shared / information).where(F.col("share") >= generalise)
     terms = near_terms.join(strong.select("entity", "h", "share"), ["entity", "h"]).groupBy("doc", "start", "end").agg((F.max("share") >= remove).alias("removed"))

@@ -270,6 +270,16 @@ def test_sanitise_whole_table(spark, tiny):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in brute_base(text)) for j in range(4)]
 
 
+def test_entities_of_one_or_two_documents_get_terms(spark, tiny):
+    rows = [(9001, "the quuxley wrote to eve@corp.example.com again", "en", "s")]
+    rows += [(9002 + k, f"the blixted calls +1 (555) 123-456{k // 2} again", "en", "s") for k in range(2)] + from_table(spark, tiny)
+    out = {r.doc_id: r for r in sanitise.sanitise_spans(docs_of(spark, rows)).collect()}
+    for i, t, *_ in rows[:3]:
+        assert {"9001": "quuxley"}.get(str(i), "blixted") in [t[int(a) : int(b)] for k, a, b in (x.split(":") for x in out[i].spans.split(",")) if k == "term"]
+    of_table = [r for i, r in out.items() if i < 9000 and r.n_email + r.n_ip + r.n_card + r.n_phone]
+    assert of_table and sum(r.n_terms for r in of_table) > 0
+
+
 # ------------------------------------------------------------------ language
 
 def test_language_of_held_out_documents(spark):
