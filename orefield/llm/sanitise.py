@@ -1,19 +1,20 @@
 """Information-theoretic sanitisation of personal data.
 
-Patterns find the protected entities.  Words near an entity's mentions are
-candidates for revealing it: over the whole corpus, the number of documents
-that hold an entity, a word, and the word near the entity give the pointwise
-mutual information of word and entity, as a share of the entity's own
-information.  At 1 the word never occurs without the entity.  Words above a
-threshold are generalised to a placeholder, above a higher one removed.  A pair
-in few documents may be chance, so its mutual information is taken as a share
-of the pair's information, which is the entity's own where the word is in all
-of its documents: an entity of one document counts in full.
-
-One pass over the texts finds the mentions and their words and counts the
-documents of every word; counts are packed by range of the words' hashes and
-merged with the candidates of that range.  Words of one task are aggregated
+Patterns find the protected entities.  Words of the documents that hold an
+entity are candidates for revealing it: over the whole corpus, the number of
+documents that hold the entity, the word, and both give the pointwise mutual
+information of word and entity, as a share of the entity's own information.  At
+1 the word never occurs without the entity.  Words above a threshold are
+generalised to a placeholder, above a higher one removed.  A pair in few
+documents may be chance, so its mutual information is taken as a share of the
+pair's information, which is the entity's own where the word is in all of its
+documents: an entity of one document counts in full.
+
+One pass over the texts finds the mentions and counts the documents of every
+word; the words of documents with entities are packed by range of their hashes
+and merged with the counts of that range.  Words of one task are aggregated
 before they are dealt out, so a frequent word costs a row for each task.
+Entities of the same documents are counted as one.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ from orefield.llm import common as c
 from orefield.llm.common import U64
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of a mention that may reveal it.
+#: Words on either side of a mention that are marked if they reveal it.
 NEAR_WORDS = 8
 #: Documents from which on a pair counts as a share of the entity's information; with fewer, of the pair's.
 SUPPORT = 3
 #: Shares of an entity's information from which a word that gives it away is generalised, or removed.
 GENERALISE, REMOVE = 0.6, 0.9
-#: Distinct words that a task counts before it deals them out.
+#: Distinct words of documents that a task holds before it deals them out.
 FLUSH = 1_500_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -99,11 +100,12 @@ def _entity(kind: int, value: str) -> str:
     return KINDS[kind] + ":" + (value.lower() if kind < 2 else "".join(x for x in value if x.isdigit()))
 
 
-_FOUND = "doc_id long, doc long, spans string, counts array<long>, mentions array<struct<entity:string,terms:array<struct<h:long,start:long,end:long>>>>, p int, blob binary"
+_FOUND = "doc_id long, doc long, spans string, counts array<long>, entities array<string>, text string, p int, blob binary"
 
 
-def _find(near: int, buckets: int):
-    mention = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.struct([("h", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])))]))
+def _find(buckets: int):
+    names = ["doc_id", "doc", "spans", "counts", "entities", "text", "p", "blob"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string())
 
     def run(batches):
         seen: list[np.ndarray] = []
@@ -118,8 +120,7 @@ def _find(near: int, buckets: int):
             own = np.flatnonzero(np.diff(cuts))
             blobs = [c.join_arrays(np.diff(h[cuts[b] : cuts[b + 1]], prepend=U64(0)), c.narrow(n[cuts[b] : cuts[b + 1]])) for b in own]
             seen, held = [], 0
-            none = [pa.nulls(len(own), t) for t in (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), mention)]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(own.astype(np.int32)), pa.array(blobs, pa.binary())], names=["doc_id", "doc", "spans", "counts", "mentions", "p", "blob"])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(own), t) for t in kinds), pa.array(own.astype(np.int32)), pa.array(blobs, pa.binary())], names=names)
 
         for batch in batches:
             at = 0
@@ -127,21 +128,19 @@ def _find(near: int, buckets: int):
                 low = c.LOWER[data]
                 starts, ends, first = c.word_bounds(low, offsets, c.ALNUM_OR_WIDE)
                 words = c.word_hashes(low, starts, ends)
-                out = {"spans": [], "counts": [], "mentions": []}
+                out = {"spans": [], "counts": [], "entities": [], "text": []}
                 for d in range(rows):
-                    a, b = int(first[d]), int(first[d + 1])
-                    x = np.sort(words[a:b])
-                    x = x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+                    x = _distinct(words[first[d] : first[d + 1]])
                     seen.append(x)
                     held += len(x)
-                    raw = data[offsets[d] : offsets[d + 1]].tobytes()
-                    text = raw.decode()
+                    text = data[offsets[d] : offsets[d + 1]].tobytes().decode()
                     spans = base_spans(text)
                     out["spans"].append(written_spans(spans))
                     out["counts"].append([sum(k == kind for _, k, _ in spans) for kind in range(4)])
-                    out["mentions"].append(_mentions(text, raw, spans, starts[a:b] - offsets[d], ends[a:b] - offsets[d], words[a:b], near) if spans else [])
-                own = [batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(out["spans"], pa.string()), pa.array(out["counts"], pa.list_(pa.int64())), pa.array(out["mentions"], mention)]
-                yield pa.RecordBatch.from_arrays([*own, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "doc", "spans", "counts", "mentions", "p", "blob"])
+                    out["entities"].append(list(dict.fromkeys(_entity(k, text[a:b]) for a, k, b in spans)))
+                    out["text"].append(text if spans else None)
+                own = [batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), *(pa.array(x, t) for x, t in zip(out.values(), kinds[2:], strict=True))]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
                 at += rows
                 if held >= FLUSH:
                     yield from flush()
@@ -150,77 +149,161 @@ def _find(near: int, buckets: int):
     return run
 
 
-def _mentions(text: str, raw: bytes, spans, starts, ends, words, near: int) -> list[dict]:
-    """Each span's entity and the words near it that no span covers."""
-    wide = len(raw) != len(text)
-    to_byte = (lambda k: len(text[:k].encode())) if wide else (lambda k: k)
-    to_point = (lambda k: len(raw[:k].decode())) if wide else (lambda k: k)
-    bytes_of = [(to_byte(a), to_byte(b)) for a, _, b in spans]
-    covered = np.zeros(len(starts), bool)
-    for a, b in bytes_of:
-        covered[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b)] = True
-    out = []
-    for (s, kind, e), (a, b) in zip(spans, bytes_of, strict=True):
-        i, j = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b))
-        own = [k for k in (*range(max(0, i - near), i), *range(j, min(len(starts), j + near))) if not covered[k]]
-        terms = [{"h": int(words[k].view(np.int64)), "start": to_point(int(starts[k])), "end": to_point(int(ends[k]))} for k in own]
-        out.append({"entity": _entity(kind, text[s:e]), "terms": terms})
+def _distinct(words: np.ndarray) -> np.ndarray:
+    x = np.sort(words)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _read_spans(spans: str) -> list[tuple[int, int, int]]:
+    return [(int(a), KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)]
+
+
+def _free_words(texts: pa.Array, spans: list[str]):
+    """(row, hashes, starts, ends) of the words of each text that no base span covers; starts and ends in code points."""
+    for lo, rows, data, offsets in c.text_blocks(texts):
+        low = c.LOWER[data]
+        starts, ends, first = c.word_bounds(low, offsets, c.ALNUM_OR_WIDE)
+        words = c.word_hashes(low, starts, ends)
+        for d in range(rows):
+            own = slice(int(first[d]), int(first[d + 1]))
+            opens = (data[offsets[d] : offsets[d + 1]] & 0xC0) != 0x80  # a code point's first byte
+            points = np.concatenate([[0], np.cumsum(opens)])
+            a, b = points[starts[own] - offsets[d]], points[ends[own] - offsets[d]]
+            free = np.ones(len(a), bool)
+            for x, _, y in _read_spans(spans[lo + d]):
+                free[np.searchsorted(b, x, side="right") : np.searchsorted(a, y)] = False
+            yield lo + d, words[own][free], a[free], b[free]
+
+
+def _near(a: np.ndarray, b: np.ndarray, starts: np.ndarray, spans: str) -> np.ndarray:
+    """Which words (a, b) are within NEAR_WORDS free words, that begin at starts, of a base span."""
+    out = np.zeros(len(a), bool)
+    at = np.searchsorted(starts, a)
+    for x, _, y in _read_spans(spans):
+        k = np.searchsorted(starts, y)
+        out |= (at >= np.searchsorted(starts, x) - NEAR_WORDS) & (at < k + NEAR_WORDS)
     return out
 
 
-def _with_document_counts(buckets: int):
-    """Candidates (entity, h, both, p) of a range of words, with the number of documents of each word."""
+def _pair_words(buckets: int):
+    """Free words of documents with their classes of entities, by range of words: (p, words' counts as null, pairs)."""
 
     def run(batches):
-        pairs, hs, ns = [], [], []
+        docs, classes, words = [], [], []
+        held = 0
+
+        def flush():
+            nonlocal docs, classes, words, held
+            h, row = np.concatenate(words), np.repeat(np.arange(len(words)), [len(x) for x in words])
+            order = np.argsort(h, kind="stable")
+            h, row = h[order], row[order]
+            cuts = np.searchsorted(c.range_bucket(h, buckets), np.arange(buckets + 1))
+            of_bucket, blobs = np.flatnonzero(np.diff(cuts)), []
+            for p in of_bucket:
+                k = slice(cuts[p], cuts[p + 1])
+                own, of = np.unique(row[k], return_inverse=True)
+                each = [x for r in own for x in classes[r]]
+                blobs.append(c.join_arrays(np.diff(h[k], prepend=U64(0)), c.narrow(of), np.array([docs[r] for r in own], np.int64), c.narrow(np.array([len(classes[r]) for r in own])), np.array([x["class"] for x in each], np.int64), c.narrow(np.array([x["held"] for x in each]))))
+            docs, classes, words, held = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(of_bucket.astype(np.int32)), pa.nulls(len(blobs), pa.binary()), pa.array(blobs, pa.binary())], names=["p", "blob", "pairs"])
+
         for batch in batches:
-            blob = batch.column(4)
-            pairs.append(batch.filter(blob.is_null()))
-            for x in blob:
+            of_doc = batch.column(0).to_pylist()
+            of_class = batch.column(3).to_pylist()
+            for k, h, _, _ in _free_words(batch.column(1), batch.column(2).to_pylist()):
+                docs.append(of_doc[k])
+                classes.append(of_class[k])
+                words.append(_distinct(h))
+                held += len(words[-1])
+                if held >= FLUSH:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def shares(n: int, both: np.ndarray, held: np.ndarray, docs: np.ndarray, support: int = SUPPORT) -> np.ndarray:
+    """Mutual information of word and entity, as a share of the entity's information, or of the pair's where that has few documents."""
+    return np.log(both * float(n) / (held * docs.astype(float))) / np.log(n / np.where(both >= support, held, both))
+
+
+def _strong_words(n: int, support: int, generalise: float, remove: float):
+    """(doc, words) of a range of words: those that disclose an entity of the document, and whether they are to be removed."""
+
+    def run(batches):
+        hs, ns, held_by = [], [], []
+        for batch in batches:
+            for x, y in zip(batch.column(1), batch.column(2), strict=True):
                 if x.is_valid:
-                    h, n = c.split_arrays(x.as_py())
+                    h, k = c.split_arrays(x.as_py())
                     hs.append(np.cumsum(h, dtype=U64))
-                    ns.append(n.astype(np.int64))
-        if not hs:
+                    ns.append(k.astype(np.int64))
+                else:
+                    held_by.append(y.as_py())
+        if not held_by:
+            return
+        words, docs = np.concatenate(hs), np.concatenate(ns)
+        order = np.argsort(words, kind="stable")
+        words, docs = words[order], docs[order]
+        first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        words, docs = words[first], np.add.reduceat(docs, first)
+        # a word in more documents than this times held ** g has a share below g of any entity, whatever they have in common
+        g = max(generalise, 0.0)
+        most = float(n) ** (1 - g) * (1 + 1e-9)
+        found = []
+        for raw in held_by:
+            h, row, doc, size, of_class, held = c.split_arrays(raw)
+            at = np.searchsorted(words, np.cumsum(h, dtype=U64))
+            size, held = size.astype(np.int64), held.astype(np.int64)
+            begin = np.cumsum(size) - size
+            can = docs[at] <= most * (np.maximum.reduceat(held, begin) ** g)[row]
+            at, row = at[can], row[can]
+            k = size[row]
+            each = np.repeat(begin[row] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            found.append((np.repeat(at, k), np.repeat(doc[row], k), of_class[each], held[each]))
+        at, doc, of_class, held = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(at):
             return
-        h, n = np.concatenate(hs), np.concatenate(ns)
-        order = np.argsort(h, kind="stable")
-        h, n = h[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        h, n = h[first], np.add.reduceat(n, first)
-        for batch in pairs:
-            if len(batch):
-                own = batch.column(1).to_numpy().view(U64)
-                of = n[np.minimum(np.searchsorted(h, own), len(h) - 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(of)], names=["entity", "h", "both", "docs"])
+        order = np.lexsort((of_class, at))
+        at, doc, of_class, held = at[order], doc[order], of_class[order], held[order]
+        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of_class[1:] != of_class[:-1])]))
+        both = np.diff(np.append(first, len(at)))
+        share = np.repeat(shares(n, both, held[first], docs[at[first]], support), both)
+        own = share >= generalise
+        at, doc, share = at[own], doc[own], share[own]
+        order = np.lexsort((-share, at, doc))
+        at, doc, share = at[order], doc[order], share[order]
+        best = np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])[: len(at)]
+        at, doc, share = at[best], doc[best], share[best]
+        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, np.int64)
+        for lo in range(0, len(cuts) - 1, 10000):
+            part = cuts[lo : lo + 10001]
+            blobs = [c.join_arrays(words[at[a:b]], (share[a:b] >= remove).astype(np.uint8)) for a, b in zip(part, part[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part[:-1]]), pa.array(blobs, pa.binary())], names=["doc", "words"])
 
     return run
 
 
-def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR_WORDS, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
-    """(found, terms): found has a row for each row of docs, with its base spans; terms (doc, start, end, removed) the words of it that disclose one of its entities."""
+def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
+    """(found, strong): found has a row for each row of docs, with its base spans, and its text if it has any; strong (doc, words) the hashes of its words that disclose one of its entities."""
     spark = docs.sparkSession
     c.importable(spark)
     buckets = c.partitions(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    table = c.written(own.mapInArrow(_find(near, buckets), _FOUND), "found")
-    found = table.where("blob is null").select("doc_id", "doc", "spans", "counts", "mentions")
-    mentions = found.select("doc", F.explode("mentions").alias("m")).select("doc", F.col("m.entity").alias("entity"), F.col("m.terms").alias("terms"))
-    n = found.count()
-    entities = mentions.select("doc", "entity").distinct().groupBy("entity").agg(F.count("*").alias("held"))
-    near_terms = mentions.select("doc", "entity", F.explode("terms").alias("t")).select("doc", "entity", "t.*")
-    # documents of the pair: equal texts under one id count once
-    pairs = near_terms.select("doc", "entity", "h").distinct().groupBy("entity", "h").agg(F.count("*").alias("both"))
-    top = F.shiftrightunsigned("h", 32)
-    pairs = pairs.withColumn("p", F.shiftright(top * buckets, 32).cast("int")).withColumn("blob", F.lit(None).cast("binary"))
-    counts = table.where("blob is not null").select(F.lit(None).cast("string").alias("entity"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("both"), "p", "blob")
-    counted = pairs.select("entity", "h", "both", "p", "blob").unionByName(counts).repartitionById(buckets, F.col("p")).mapInArrow(_with_document_counts(buckets), "entity string, h long, both long, docs long")
-    all_docs = F.lit(float(max(n, 2)))
-    information = F.log(all_docs / F.when(F.col("both") >= support, F.col("held")).otherwise(F.col("both")))
-    shared = F.log(F.col("both") * all_docs / (F.col("held") * F.col("docs")))
-    strong = counted.join(entities, "entity").where("held * 2 <= %d" % max(n, 2)).withColumn("share", shared / information).where(F.col("share") >= generalise)
-    terms = near_terms.join(strong.select("entity", "h", "share"), ["entity", "h"]).groupBy("doc", "start", "end").agg((F.max("share") >= remove).alias("removed"))
-    return found, terms
+    table = c.written(own.mapInArrow(_find(buckets), _FOUND), "found")
+    found = table.where("blob is null").select("doc_id", "doc", "spans", "counts", "text")
+    n = max(found.count(), 2)
+    mentions = table.where("blob is null and text is not null").select("doc", F.explode("entities").alias("entity")).distinct()
+    # entities of the same documents have the same words and shares: one class stands for them all
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("held"), F.bit_xor(F.xxhash64("doc")).alias("set")).where(F.col("held") * 2 <= n)
+    classes = mentions.join(entities, "entity").select("doc", F.xxhash64("set", "held").alias("class"), "held").distinct().groupBy("doc").agg(F.collect_list(F.struct("class", "held")).alias("classes"))
+    # equal texts under one id count once
+    texts = found.where("text is not null").select("doc", "text", "spans").dropDuplicates(["doc"]).join(classes, "doc")
+    pairs = texts.select("doc", "text", "spans", "classes").mapInArrow(_pair_words(buckets), "p int, blob binary, pairs binary")
+    counts = table.where("blob is not null").select("p", "blob", F.lit(None).cast("binary").alias("pairs"))
+    strong = pairs.unionByName(counts).repartitionById(buckets, F.col("p")).mapInArrow(_strong_words(n, support, generalise, remove), "doc long, words binary")
+    return found, strong
 
 
 def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
@@ -234,24 +317,33 @@ def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a pair; both copies get the same spans.  A null id counts as the empty
     text.  Other columns are not looked at.  No rows: no rows.
     """
-    found, terms = disclosures(docs, id_col, text_col, **thresholds)
-    added = terms.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "removed")).alias("terms"))
+    found, strong = disclosures(docs, id_col, text_col, **thresholds)
+    added = strong.groupBy("doc").agg(F.collect_list("words").alias("words"))
 
     def run(batches):
         for batch in batches:
+            spans, strong_of = batch.column(1).to_pylist(), batch.column(4).to_pylist()
+            terms: list[list[tuple[int, int, bool]]] = [[] for _ in spans]
+            for k, h, starts, ends in _free_words(batch.column(3), spans):
+                if strong_of[k]:
+                    words, removed = (np.concatenate(x) for x in zip(*map(c.split_arrays, strong_of[k]), strict=True))
+                    order = np.argsort(words)
+                    words, removed = words[order], removed[order]
+                    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+                    own = np.flatnonzero(words[at] == h)
+                    own = own[_near(starts[own], ends[own], starts, spans[k])]
+                    terms[k] = list(zip(starts[own].tolist(), ends[own].tolist(), removed[at[own]].astype(bool).tolist(), strict=True))
             out = []
-            for spans, own in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                base = [(int(a), KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)]
-                more = [(t["start"], 4, t["end"]) for t in own or []]
-                what = {(t["start"], t["end"]): "remove" if t["removed"] else "generalise" for t in own or []}
-                every = sorted([*base, *more])
-                out.append((hashlib.sha256(spans.encode()).hexdigest(), written_spans(every), len(more), sum(x == "remove" for x in what.values()), ",".join(f"{a}:{b}:{what[a, b] if k == 4 else 'redact'}" for a, k, b in every)))
+            for x, own in zip(spans, terms, strict=True):
+                what = {(a, b): "remove" if r else "generalise" for a, b, r in own}
+                every = sorted([*_read_spans(x), *((a, 4, b) for a, b, _ in own)])
+                out.append((hashlib.sha256(x.encode()).hexdigest(), written_spans(every), len(own), sum(y == "remove" for y in what.values()), ",".join(f"{a}:{b}:{what[a, b] if k == 4 else 'redact'}" for a, k, b in every)))
             counts = batch.column(2).to_pylist()
             cols = [pa.array([x[k] for x in counts], pa.int64()) for k in range(4)]
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *(pa.array([o[k] for o in out], t) for k, t in enumerate(kinds))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms", "n_removed", "actions"])
 
-    rows = found.select("doc_id", "doc", "spans", "counts").join(added, "doc", "left").select("doc_id", "spans", "counts", "terms")
+    rows = found.join(added, "doc", "left").select("doc_id", "spans", "counts", "text", "words")
     return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long, n_removed long, actions string")
 
 

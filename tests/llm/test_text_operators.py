@@ -280,6 +280,15 @@ def test_entities_of_one_or_two_documents_get_terms(spark, tiny):
     assert of_table and sum(r.n_terms for r in of_table) > 0
 
 
+def test_words_far_from_a_mention_count(spark):
+    far = " ".join(f"f{k}" for k in range(12))
+    rows = [(k, f"zorblax {far} bob@corp.example.com" if k else f"zorblax bob@corp.example.com {far}", "en", "s") for k in range(4)]
+    rows += [(100 + k, f"{far} text{k}", "en", "s") for k in range(60)]
+    out = {r.doc_id: r for r in sanitise.sanitise_spans(docs_of(spark, rows)).collect()}
+    # near the mention in one of four documents, whose count alone gives a share of a third
+    assert out[0].actions.startswith("0:7:remove")
+
+
 # ------------------------------------------------------------------ language
 
 def test_language_of_held_out_documents(spark):
