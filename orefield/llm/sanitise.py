@@ -175,16 +175,6 @@ def _free_words(texts: pa.Array, spans: list[str]):
             yield lo + d, words[own][free], a[free], b[free]
 
 
-def _near(a: np.ndarray, b: np.ndarray, starts: np.ndarray, spans: str) -> np.ndarray:
-    """Which words (a, b) are within NEAR_WORDS free words, that begin at starts, of a base span."""
-    out = np.zeros(len(a), bool)
-    at = np.searchsorted(starts, a)
-    for x, _, y in _read_spans(spans):
-        k = np.searchsorted(starts, y)
-        out |= (at >= np.searchsorted(starts, x) - NEAR_WORDS) & (at < k + NEAR_WORDS)
-    return out
-
-
 def _pair_words(buckets: int):
     """Free words of documents with their classes of entities, by range of words: (p, words' counts as null, pairs)."""
 
@@ -331,7 +321,6 @@ def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     words, removed = words[order], removed[order]
                     at = np.minimum(np.searchsorted(words, h), len(words) - 1)
                     own = np.flatnonzero(words[at] == h)
-                    own = own[_near(starts[own], ends[own], starts, spans[k])]
                     terms[k] = list(zip(starts[own].tolist(), ends[own].tolist(), removed[at[own]].astype(bool).tolist(), strict=True))
             out = []
             for x, own in zip(spans, terms, strict=True):

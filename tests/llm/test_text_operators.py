@@ -289,6 +289,52 @@ def test_words_far_from_a_mention_count(spark):
     assert out[0].actions.startswith("0:7:remove")
 
 
+def entity_of(kind, value):
+    return kind, value.lower() if kind < 2 else re.sub("[^0-9]", "", value)
+
+
+def brute_terms(rows, generalise=0.6, remove=0.9):
+    """Terms (start, end, removed) of each row by its place, counted document by document."""
+    n = max(len(rows), 2)
+    docs, held, both, own = defaultdict(int), defaultdict(set), defaultdict(set), []
+    for i, t, *_ in rows:
+        t = t or ""
+        spans = brute_base(t)
+        every = [(m[0], m.start(), m.end()) for m in WORD.finditer(lower(t))]
+        free = [(w, a, b) for w, a, b in every if not any(a < z and b > x for x, _, z in spans)]
+        entities = {entity_of(k, t[a:b]) for a, k, b in spans}
+        for w in {w for w, *_ in every}:
+            docs[w] += 1
+        for e in entities:
+            held[e].add((i, t))
+            for w in {w for w, *_ in free}:
+                both[e, w].add((i, t))
+        own.append((entities, free))
+
+    def share(e, w):
+        h, k = len(held[e]), len(both[e, w])
+        return np.log(k * n / (h * docs[w])) / np.log(n / (h if k >= 3 else k)) if 2 * h <= n else -1
+
+    out = []
+    for entities, free in own:
+        best = {w: max((share(e, w) for e in entities), default=-1) for w in {w for w, *_ in free}}
+        out.append([(a, b, bool(best[w] >= remove)) for w, a, b in free if best[w] >= generalise])
+    return out
+
+
+def test_every_occurrence_is_marked(spark, tiny):
+    gap = " ".join(f"other{k % 5}" for k in range(30))
+    rows = [(5000, f"é zorblax joe@corp.example.com {gap} zorblax Zorblax", "en", "s"), (5001, f"ann@corp.example.com and Joe@corp.example.com {gap} wimbley", "en", "s"), (5002, f"+1 (555) 123-4567 {gap} wimbley ann@corp.example.com", "en", "s")]
+    rows += [(5010 + k, f"team@corp.example.com {gap} motto part{k}", "en", "s") for k in range(20)] + ODD
+    rows += from_table(spark, tiny)
+    expected = sorted(((i, [(f"{a}:{b}", "remove" if r else "generalise") for a, b, r in own]) for (i, *_), own in zip(rows, brute_terms(rows), strict=True)), key=str)
+    out = sanitise.sanitise_spans(docs_of(spark, rows)).collect()
+    got = sorted(((r.doc_id, [(x.rpartition(":")[0], x.rpartition(":")[2]) for x in r.actions.split(",") if x and not x.endswith(":redact")]) for r in out), key=str)
+    assert got == expected
+    clean = {r.doc_id: r.text for r in sanitise.sanitised(docs_of(spark, rows)).collect()}
+    assert "zorblax" not in lower(clean[5000]) and "wimbley" not in clean[5001] and "motto" not in clean[5012]
+
+
 # ------------------------------------------------------------------ language
 
 def test_language_of_held_out_documents(spark):
