@@ -71,6 +71,16 @@ def test_recall_and_precision(spark, monkeypatch, block):
     assert out[3004].n_links >= 5 and out[3004].component_id == 8
 
 
+@pytest.mark.parametrize("pivots", pivot_index.PIVOTS)
+def test_recall_of_each_number_of_pivots(spark, pivots):
+    rows = [(i, np.array(v, np.float32).tolist(), label) for i, v, label in groups()]
+    df = spark.createDataFrame([(*r, "k", "w") for r in rows], VECTORS)
+    links = brute_links(rows)
+    found = sum(r.n_links for r in pivot_index.near_vectors(df, pivots=pivots).collect())
+    print("pivots", pivots, "found", found, "of", len(links))
+    assert 0.95 * len(links) <= found <= len(links)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [None, 1.0], 1), (7, [1.0, 0.0], None), (8, [1.0, 0.0], None), (9, [1.0, 0.0], 1), (10, [2.0, 0.0], 1), (11, [1.0, 0.0], 2), (12, [1.0, 0.0, 0.0], 1), (13, [3e38, 3e38], 1), (14, [1e-38, 1e-38], 1), (9, [1.0, 0.0], 1)]
