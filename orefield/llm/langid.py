@@ -23,9 +23,8 @@ from orefield.llm import common as c
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 16
 DIMENSIONS = 16
-#: Most documents of a language, and most languages, that the classifier is fitted on.
+#: Most documents of a language that the classifier is fitted on.
 PER_LANGUAGE = 500
-LANGUAGES = 400
 EPOCHS = 10
 RATE = 0.5
 #: Share of right predictions, on the part held back, that rejection may cost.
@@ -144,15 +143,15 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """A model from rows with a language that are not held out: about per_language of each of the languages with most rows, chosen by a hash of id and text.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+    """A model from rows with a language that are not held out: about per_language of each language, chosen by a hash of id and text.
 
     No labelled rows: a model that knows no language and rejects every text.
     """
     c.importable(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("out"))
     own = own.where("not out and lang is not null and text is not null")
-    counts = {r.lang: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r.lang: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     share = F.create_map([F.lit(x) for k, n in counts.items() for x in (k, per_language / n)])[F.col("lang")]

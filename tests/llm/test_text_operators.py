@@ -337,6 +337,13 @@ def test_every_occurrence_is_marked(spark, tiny):
 
 # ------------------------------------------------------------------ language
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    rows = [(k, f"word{k % 410} text", f"l{k % 410}", "s") for k in range(410 * 8)]
+    model = langid.train(docs_of(spark, rows))
+    assert set(model.languages) == {lang for _, _, lang, _ in rows}
+
+
 def test_language_of_held_out_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(df)
