@@ -75,36 +75,44 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int, id_co
     spark = docs.sparkSession
     c.importable(spark)
     shared = spark.sparkContext.broadcast(definition)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         part, frame, first = TaskContext.get().partitionId(), 0, 0
         enc = encoder(shared.value)
-        ids: list[bytes] = []
-        keys: list[int | None] = []
+        ids: list[np.ndarray] = []
+        keys: list[pa.Array] = []
+        sizes: list[np.ndarray] = []
         held = 0
 
         def close():
-            nonlocal frame, first, held, ids, keys
-            sizes = np.array([len(x) // 4 for x in ids], np.uint32)
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            nonlocal frame, first, held, ids, keys, sizes
+            flat = np.concatenate(ids)
+            key = pa.concat_arrays(keys)
             chunks, planes = to_frame(flat, kind)
-            index = c.join_arrays(np.array([k or 0 for k in keys], np.int64), np.array([k is not None for k in keys], np.uint8), sizes)
-            row = [[part], [frame], [first], [len(flat)], [len(keys)], [kind], [index], [chunks], [planes]]
+            index = c.join_arrays(key.fill_null(0).to_numpy(), key.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), np.concatenate(sizes).astype(np.uint32))
+            row = [[part], [frame], [first], [len(flat)], [len(key)], [kind], [index], [chunks], [planes]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in _FRAMES.split(", ")])
-            frame, first, held, ids, keys = frame + 1, first + len(flat), 0, [], []
+            frame, first, held, ids, keys, sizes = frame + 1, first + len(flat), 0, [], [], []
 
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                texts = [x or "" for x in batch.column(1).slice(i, 64).to_pylist()]
-                for key, own in zip(batch.column(0).slice(i, 64).to_pylist(), enc.encode(texts), strict=True):
-                    ids.append(own + end)
-                    keys.append(key)
-                    held += len(own) // 4 + 1
+            row = 0
+            for rows, own, n in enc.encode(batch.column(1)):
+                own, n = np.insert(own.astype(np.uint32), np.cumsum(n), end_id), n + 1
+                ends = np.cumsum(n)
+                at = 0
+                while at < rows:  # the rows up to the one that fills a frame
+                    begin = ends[at - 1] if at else 0
+                    to = min(rows, int(np.searchsorted(ends, begin + FRAME_IDS - held)) + 1)
+                    ids.append(own[begin : ends[to - 1]])
+                    keys.append(batch.column(0).slice(row + at, to - at))
+                    sizes.append(n[at:to])
+                    held += int(ends[to - 1] - begin)
+                    at = to
                     if held >= FRAME_IDS:
                         yield from close()
+                row += rows
         if keys:
             yield from close()
 

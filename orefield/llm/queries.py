@@ -32,9 +32,12 @@ def op1_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from orefield.llm.edit_counts import edit_counts, revisions
+    """Trees of all documents are stored; three edits of each start from the store."""
+    from orefield.llm import common
+    from orefield.llm.edit_counts import count_trees, edit_counts, revisions
 
-    return edit_counts(revisions(_table(spark, sf_dir, "documents")), tokenizer_definition())
+    store = common.written(count_trees(_table(spark, sf_dir, "documents"), tokenizer_definition()), "trees")
+    return edit_counts(revisions(store), tokenizer_definition(), tree_col="tree")
 
 
 def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:

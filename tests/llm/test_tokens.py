@@ -3,11 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
-from orefield.llm import bitplanes, common
-from orefield.llm.edit_counts import CountTree, edit_counts
+from orefield.llm import bitplanes, common, queries
+from orefield.llm.edit_counts import CountTree, count_trees, edit_counts, revisions
 from orefield.llm.tokens import Encoder
 
 DEFINITION = open(public_tokenizers.path("byte_bpe_50k.json")).read()
@@ -15,19 +17,24 @@ ENCODER = Encoder(DEFINITION)
 ODD = ["", " ", "  a", "a  b ", "a\n b\t c", "don't won' t 's", "x  y", "ÀÉ!! wörd,x ... ###", "<|endoftext|> b", "1 2 33, a1!", " 　 z", "a" * 5000, "é" * 300 + " " + "!" * 300]
 
 
+def encoded(text):
+    """The ids of one text through the operator's encoder."""
+    return [x for _, ids, _ in ENCODER.encode(pa.array([text])) for x in ids.tolist()]
+
+
 def whole(text):
     return ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ODD)
 def test_pieces_encode_as_the_whole(text):
-    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == whole(text)
+    assert encoded(text) == whole(text)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from(list("ab A.,!'s1\n\t é_²½٣")), max_size=30))
 def test_pieces_encode_as_the_whole_on_random_texts(text):
-    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == whole(text)
+    assert encoded(text) == whole(text)
 
 
 @pytest.mark.parametrize("kind", ["bytes", "bits"])
@@ -99,3 +106,76 @@ def test_packed_arrays_round_trip(values):
     a, b = np.array(values, np.uint64), common.narrow(np.array(values, np.uint64) >> np.uint64(40))
     x, y = common.split_arrays(common.join_arrays(a, b))
     assert (x == a).all() and (y == b).all()
+
+
+def test_pieces_encode_as_the_whole_for_every_code_point():
+    texts = [f"a{chr(x)}b\n{chr(x)} {chr(x)}'s" for x in range(0x20000) if not 0xD800 <= x < 0xE000]
+    got = [x for _, ids, n in ENCODER.encode(pa.array(texts)) for x in np.split(ids, np.cumsum(n)[:-1])]
+    want = ENCODER.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert all(a.tolist() == b.ids for a, b in zip(got, want, strict=True))
+
+
+def test_pieces_that_share_a_slot():
+    small = Encoder(DEFINITION, slot_bits=2)
+    texts = [" ".join(f"w{k * j}x" for k in range(40)) for j in range(30)]
+    got = [x.tolist() for _ in range(2) for _, ids, n in small.encode(pa.array(texts)) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [whole(x) for x in texts] * 2
+
+
+@pytest.mark.parametrize("unit", ["some line\n", "漢字仮名交換紀錄處理語言", "日本語のテキストを処理する", "한국어문장을처리한다", "слово", "a　b\t", "x,y;z-"])
+def test_edits_touch_their_region_only_without_spaces(unit):
+    text = unit * (24000 // len(unit))
+    tree = CountTree(ENCODER, text)
+    assert tree.edit(12000, 12004, "字x") == len(whole(text[:12000] + "字x" + text[12004:]))
+    assert tree.encoded < 200
+
+
+def test_tree_of_odd_scripts_counts_as_encoding_the_edited_text():
+    rng = random.Random(2)
+    alphabet = "a '\n　漢字。中か한é́s 1"
+    for _ in range(150):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 200)))
+        tree = CountTree(ENCODER, text)
+        for _ in range(6):
+            a = rng.randrange(0, len(text) + 2)
+            b = a + rng.choice([0, 1, 3, 60])
+            new = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 3000])))
+            text = text[:a] + new + text[b:]
+            assert tree.edit(a, b, new) == len(whole(text)), repr(text)
+            assert tree.whole()[0] == text and tree.pieces == len(tree.whole()[1])
+
+
+def test_edits_start_from_stored_trees(spark):
+    rows = [(k, ODD[k % len(ODD)] * 3 if k % 7 else None) for k in range(40)]
+    store = count_trees(spark.createDataFrame(rows, "doc_id long, text string"), DEFINITION)
+    text_of = {i: t or "" for i, t in rows}
+    assert {r.doc_id: (r.text, r.n_tokens) for r in store.collect()} == {i: (t, len(whole(t))) for i, t in text_of.items()}
+    once = edit_counts(store.withColumn("edits", F.expr("array(named_struct('start', 2L, 'end', 5L, 'text', 'new'))")), DEFINITION, tree_col="tree", with_trees=True)
+    twice = edit_counts(once.drop("n_tokens").withColumn("edits", F.expr("array(named_struct('start', 0L, 'end', 1L, 'text', '字 '))")), DEFINITION, tree_col="tree", with_trees=True)
+    for r in twice.collect():
+        t = text_of[r.doc_id]
+        t = t[:2] + "new" + t[5:]
+        t, old = "字 " + t[1:], t
+        assert (r.text, r.n_tokens, r.n_after, r.n_chars) == (t, len(whole(old)), len(whole(t)), len(t))
+
+
+def test_edit_query_against_encoding_the_edited_texts(spark, tiny):
+    """The registered query's counts, by brute force: make the edits in plain Python and encode whole texts."""
+    texts = {}
+    for r in revisions(spark.read.parquet(f"{tiny}/documents.parquet")).select("doc_id", "text", "edits").collect():
+        old = new = r.text or ""
+        for e in r.edits:
+            a = min(max(e["start"], 0), len(new))
+            new = new[:a] + e["text"] + new[max(a, min(e["end"], len(new))) :]
+        texts[r.doc_id] = len(whole(old)), len(whole(new)), len(new)
+    got = {r.doc_id: (r.n_tokens, r.n_after, r.n_chars) for r in queries.op2_edit_counts(spark, tiny).collect()}
+    assert got == texts
+
+
+def test_token_query_against_the_library(spark, tiny):
+    rows = sorted((r.doc_id, whole(r.text or "") + [2]) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect())
+    want, at = [], 0
+    for i, ids in rows:
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in queries.op1_bitplane_tokens(spark, tiny).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
