@@ -19,7 +19,8 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -45,12 +46,13 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = getattr(spark.sparkContext, "_orefield_dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one of our own, on a local master only."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_orefield_dir", None)
     if not named:
-        named = spark.sparkContext._orefield_dir = "file://" + tempfile.mkdtemp(prefix="orefield-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = sc._orefield_dir = "file://" + tempfile.mkdtemp(prefix="orefield-")
     return named.rstrip("/")
 
 
@@ -133,6 +135,48 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(df: DataFrame, bucket_bytes: int, most: int) -> int:
+    """Buckets of about bucket_bytes for what df reads, where Spark knows its size: as many as there are shuffle partitions at least, and most at most."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 62)  # more stands for an unknown size
+    return max(partitions(df.sparkSession), min(most, -(-size // bucket_bytes)))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df has it."""
+    taken, out = {x.lower() for x in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own(name: str) -> Column:
+    """A column by its literal name, dots and quotes included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def map_rows(df: DataFrame, run, schema: StructType | str) -> DataFrame:
+    """mapInArrow by places of columns, whatever they are called (the method itself takes dots in names for fields)."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = schema.names
+
+    def named(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(named, schema)
+
+
+def ragged(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers begins, begins + 1, ... of each run of counts."""
+    ends = np.cumsum(counts)
+    return np.repeat(begins - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 # ---------------------------------------------------------------- texts as bytes
 
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES):

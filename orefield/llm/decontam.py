@@ -20,33 +20,58 @@ from orefield.llm import common as c
 from orefield.llm.common import U64
 
 WINDOW_WORDS = 10
-#: Bytes of item text in a block that is broadcast.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item text in a block that is broadcast; its index holds about 28 bytes for each word besides.
+BLOCK_BYTES = 8 << 20
 
 _FILTER_BITS = 20
 
 
 class WindowIndex:
-    """The windows of a block of items: for each length, sorted hashes; for each window, the items it occurs in."""
+    """The windows of a block of items, in arrays: for each length, their hashes in ascending order; of each, its item and its words' place in the items' words."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
-        self.items: dict[bytes, set[str | None]] = {}
-        hashes: dict[int, set[int]] = {}
-        for item, text in items:
-            data = c.LOWER[np.frombuffer(text.encode(), np.uint8)]
-            starts, ends, _ = c.word_bounds(data, np.array([0, len(data)]), c.ALNUM_OR_WIDE)
-            if not len(starts):
-                continue
-            k = min(window, len(starts))
-            words = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-            hashes.setdefault(k, set()).update(map(int, c.window_hashes(c.word_hashes(data, starts, ends), k)))
-            for i in range(len(words) - k + 1):
-                self.items.setdefault(b" ".join(words[i : i + k]), set()).add(item)
-        self.hashes = {k: np.array(sorted(v), U64) for k, v in hashes.items()}
-        self.filters = {}
-        for k, v in self.hashes.items():
+        self.names = [item for item, _ in items]
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        words_of: list[np.ndarray] = []
+        held = 0
+        for row, rows, data, offsets in c.text_blocks(pa.array([text for _, text in items], pa.string())):
+            low = c.LOWER[data]
+            starts, ends, first = c.word_bounds(low, offsets, c.ALNUM_OR_WIDE)
+            words = c.word_hashes(low, starts, ends)
+            sizes = ends - starts
+            at = np.cumsum(sizes + 1) - sizes - 1  # of each word, among all words joined by spaces
+            joined = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
+            joined[c.ragged(at, sizes)] = low[c.ragged(starts, sizes)]
+            n = np.diff(first)
+            for k in np.unique(np.minimum(n[n > 0], window)).tolist():
+                own = np.flatnonzero(n >= window if k == window else n == k)
+                begins = c.ragged(first[:-1][own], n[own] - k + 1)
+                item = np.repeat(row + own, n[own] - k + 1)
+                last = begins + k - 1
+                parts.setdefault(k, []).append((c.window_hashes(words, k)[begins], item.astype(np.uint32), (held + at[begins]).astype(np.uint32), (at[last] + sizes[last] - at[begins]).astype(np.uint32)))
+            words_of.append(joined)
+            held += len(joined)
+        self.words = np.concatenate(words_of).tobytes() if words_of else b""
+        self.hashes, self.places, self.filters = {}, {}, {}
+        for k in sorted(parts):
+            h, item, begin, size = (np.concatenate(x) for x in zip(*parts.pop(k), strict=True))
+            order = np.lexsort((begin, item, h))
+            h, item, begin, size = h[order], item[order], begin[order], size[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])  # an item names a window once
+            self.hashes[k], self.places[k] = h[new], (item[new], begin[new], size[new])
             self.filters[k] = np.zeros(1 << _FILTER_BITS, bool)
-            self.filters[k][v >> U64(64 - _FILTER_BITS)] = True
+            self.filters[k][h >> U64(64 - _FILTER_BITS)] = True
+
+    def items_of(self, k: int, place: int, words: bytes) -> set[str | None]:
+        """The items with a window of these words, whose hash's first entry is at place."""
+        h, (item, begin, size) = self.hashes[k], self.places[k]
+        out, i = set(), place
+        while i < len(h) and h[i] == h[place]:
+            if self.words[begin[i] : int(begin[i]) + int(size[i])] == words:
+                out.add(self.names[item[i]])
+            i += 1
+        return out
 
 
 def scan(index: WindowIndex, column: pa.Array) -> Iterator[tuple[int, np.ndarray, set, np.ndarray, np.ndarray]]:
@@ -62,11 +87,12 @@ def scan(index: WindowIndex, column: pa.Array) -> Iterator[tuple[int, np.ndarray
             windows = c.window_hashes(words, k)
             at = np.flatnonzero(index.filters[k][windows >> U64(64 - _FILTER_BITS)])
             at = at[at + k <= last[at]]
-            place = np.searchsorted(known, windows[at])
-            at = at[known[np.minimum(place, len(known) - 1)] == windows[at]]
+            place = np.minimum(np.searchsorted(known, windows[at]), len(known) - 1)
+            same = known[place] == windows[at]
+            at, place = at[same], place[same]
             of_text = np.searchsorted(first, at, side="right") - 1
-            for i, d in zip(at.tolist(), of_text.tolist(), strict=True):
-                items = index.items.get(b" ".join(low[starts[j] : ends[j]].tobytes() for j in range(i, i + k)))
+            for i, p, d in zip(at.tolist(), place.tolist(), of_text.tolist(), strict=True):
+                items = index.items_of(k, p, b" ".join(low[starts[j] : ends[j]].tobytes() for j in range(i, i + k)))
                 if items:
                     hit[i : i + k] = True
                     found.setdefault(d, set()).update(items)
@@ -87,9 +113,6 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, blo
     return out
 
 
-_MARKS = "__words long, __hits binary, __items array<string>"
-
-
 def _marked(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int, finish, schema) -> DataFrame:
     """finish(batch, columns) of each batch of docs with three more columns: the number of words, a byte for each word that tells whether it is hit, and the items.
 
@@ -97,7 +120,8 @@ def _marked(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str,
     so that a task has one Python worker.
     """
     c.importable(docs.sparkSession)
-    docs = docs.withColumns({"__words": F.lit(None).cast("long"), "__hits": F.lit(None).cast("binary"), "__items": F.lit(None).cast("array<string>")})
+    words, hits, items = c.free_names(docs, "words", "hits", "items")
+    docs = docs.withColumns({words: F.lit(None).cast("long"), hits: F.lit(None).cast("binary"), items: F.lit(None).cast("array<string>")})
     at = docs.columns.index(text_col)
 
     def over(block, last):
@@ -120,8 +144,8 @@ def _marked(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str,
 
     blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
     for i, block in enumerate(blocks[:-1]):
-        docs = (c.written(docs, "marked") if i else docs).mapInArrow(over(block, False), docs.schema)
-    return (c.written(docs, "marked") if len(blocks) > 1 else docs).mapInArrow(over(blocks[-1], True), schema)
+        docs = c.map_rows(c.written(docs, "marked") if i else docs, over(block, False), docs.schema)
+    return c.map_rows(c.written(docs, "marked") if len(blocks) > 1 else docs, over(blocks[-1], True), schema)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -164,7 +188,7 @@ def without_hits(text: str | None, hits: np.ndarray) -> str | None:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", remove: str = "documents", window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without contaminated documents (remove="documents") or without their hit passages (remove="spans").
 
-    All columns and all rows without a hit stay as they are.
+    All columns, whatever they are called, and all rows without a hit stay as they are.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: documents or spans, not {remove!r}")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orefield.llm import common as c
 from orefield.llm.common import U64
-from orefield.llm.components import components
+from orefield.llm.components import components, least_of_component
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -48,6 +48,9 @@ FLUSH = 1_000_000
 #: Shingles that are sorted at once when they are merged.
 SORTED = 250_000
 
+#: Bytes of documents that a bucket of shingles, or of classes, is for, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 16384
+
 _DEALT = "p int, doc_id long, n long, key long, blob binary"
 _MERGED = "p int, doc_id long, n long, key long, blob binary"
 _SETS = "key long, n long, light boolean, shared binary, prefix array<long>, subsets array<struct<lo:long,hi:long,h:long>>"
@@ -315,7 +318,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     c.importable(spark)
-    parts = c.partitions(spark)
+    parts = c.buckets_for(docs, BUCKET_BYTES, MOST_BUCKETS)
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(c.tidy(_deal(k, parts)), _DEALT)
     merged = c.written(dealt.repartitionById(parts, F.col("p")).mapInArrow(c.tidy(_merge(parts)), _MERGED), "shared")
     meta = merged.where("blob is null").select("doc_id", "n", "key")
@@ -339,21 +342,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = grouped.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cells = grouped.join(blocks, "g").withColumn("x", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("g", (F.least("x", "y") * F.col("blocks") + F.greatest("x", "y")).alias("cell"), "x", "key").join(sets.select("key", "n", "shared"), "key")
-    heavy = cells.repartition(parts, "g", "cell").sortWithinPartitions("g", "cell").mapInArrow(c.tidy(_scan(percent)), "a long, b long")
+    heavy = cells.repartition(max(parts, c.buckets_for(sets, BUCKET_BYTES, MOST_BUCKETS)), "g", "cell").sortWithinPartitions("g", "cell").mapInArrow(c.tidy(_scan(percent)), "a long, b long")
     all_links = c.written(heavy.unionByName(light), "links")
 
     of_class = components(all_links, "a", "b").select(F.col("node").alias("key"), "component")
-    named = meta.join(of_class, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    classes = meta.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    return meta.join(least_of_component(classes, of_class), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """docs without the rows whose id isn't their component's least; all columns are kept.
+    """docs without the rows whose id isn't their component's least; all columns are kept, whatever they are called.
 
     Rows without words and rows without an id are kept; rows that share an id
     are kept or dropped alike.  The ids that go are written first, so Spark
     knows their size and broadcasts them only if they are few.
     """
-    gone = jaccard_components(docs, id_col, text_col, **kw).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(c.written(gone.coalesce(c.partitions(docs.sparkSession)), "gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    (name,) = c.free_names(docs, "gone")
+    gone = jaccard_components(docs, id_col, text_col, **kw).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(c.written(gone.coalesce(c.partitions(docs.sparkSession)), "gone"), c.own(id_col) == F.col(name), "left_anti")

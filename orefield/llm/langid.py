@@ -201,4 +201,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in batches:
             yield batch.filter(pa.array(shared.value.predict(batch.column(at))[2], pa.bool_()))
 
-    return docs.mapInArrow(c.tidy(run), docs.schema)
+    return c.map_rows(docs, c.tidy(run), docs.schema)

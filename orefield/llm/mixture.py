@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from orefield.llm.common import written
+from orefield.llm.common import free_names, own, written
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -27,7 +27,7 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 def size_of(text_col: str = "text") -> Column:
     """Number of words: runs of anything but white space; null has none."""
-    return F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(own(text_col).cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
 
 
 def key_of(id_col: Column, size: Column) -> Column:
@@ -48,16 +48,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     """
     place = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(place) - 1, F.lit(len(weights))) + 1).cast("int"))
-    own = sources.withColumn("weight", weight).withColumn("most", F.lit(epochs) * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("weight"))
+    rows = sources.withColumn("weight", weight).withColumn("most", F.lit(epochs) * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("weight"))
     # the sources that are stopped are first in the order of most / weight
     order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
     before, all_rows = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
     left = F.sum("source_size").over(all_rows) - F.coalesce(F.sum("most").over(before), F.lit(0))
     weighs = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    own = own.withColumn("level", left / weighs)
+    rows = rows.withColumn("level", left / weighs)
     level = F.min(F.when(F.col("level") < F.col("ratio"), F.struct("ratio", "source", "level"))).over(all_rows)["level"]
-    own = own.withColumn("level", F.coalesce(level, F.lit(0.0)))
-    return own.withColumn("target", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight"))).drop("weight", "most", "ratio", "level")
+    rows = rows.withColumn("level", F.coalesce(level, F.lit(0.0)))
+    return rows.withColumn("target", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight"))).drop("weight", "most", "ratio", "level")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -89,8 +89,8 @@ def cuts(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"))
-    return written(own.withColumn("key", key_of(F.col("doc_id"), F.col("size"))), "sized")
+    rows = docs.select(own(id_col).alias("doc_id"), own(source_col).cast("string").alias("source"), size_of(text_col).alias("size"))
+    return written(rows.withColumn("key", key_of(F.col("doc_id"), F.col("size"))), "sized")
 
 
 def _few(found: DataFrame) -> DataFrame:
@@ -123,19 +123,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """docs as the mix takes them: each row as often as it is taken; where a source is cut, with its first words only.
 
-    All columns are kept; the text is the only one that changes.
+    All columns are kept, whatever they are called; the text is the only one
+    that changes.  Documents without words are not taken.
     """
     sized = _sized(docs, id_col, text_col, source_col)
-    found = _few(cuts(sized, weights, epochs)).select(*(F.col(x).alias(f"__{x}") for x in ("source", "epochs", "cut_key", "cut_words")))
-    own = docs.withColumn("__size", size_of(text_col)).withColumn("__key", key_of(F.col(id_col), F.col("__size")))
-    own = own.join(found, _same(F.col(source_col).cast("string"), F.col("__source"))).where("__size > 0")
-    times = F.col("__epochs") + (F.col("__key") < F.col("__cut_key")).cast("long")
-    cut = F.when(F.col("__key") == F.col("__cut_key"), F.col("__cut_words")).otherwise(0)
+    size, key, take, *cut = free_names(docs, "size", "key", "take", "source", "epochs", "cut_key", "cut_words")
+    found = _few(cuts(sized, weights, epochs)).select(*(F.col(x).alias(y) for x, y in zip(("source", "epochs", "cut_key", "cut_words"), cut, strict=True)))
+    source, epochs_of, cut_key, cut_words = map(F.col, cut)
+    rows = docs.withColumn(size, size_of(text_col)).withColumn(key, key_of(own(id_col), F.col(size)))
+    rows = rows.join(found, _same(own(source_col).cast("string"), source)).where(F.col(size) > 0)
+    times = epochs_of + (F.col(key) < cut_key).cast("long")
+    part = F.when(F.col(key) == cut_key, cut_words).otherwise(0)
     whole = F.array_repeat(F.lit(-1).cast("long"), times.cast("int"))
-    own = own.withColumn("__take", F.explode(F.when(cut > 0, F.concat(whole, F.array(cut))).otherwise(whole)))
-    words = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("__take") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__take"), F.lit(0)).cast("int")), ""))
-    return own.select(*(text.alias(x) if x == text_col else F.col(x) for x in docs.columns))
+    rows = rows.withColumn(take, F.explode(F.when(part > 0, F.concat(whole, F.array(part))).otherwise(whole)))
+    words = F.split(own(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.when(F.col(take) < 0, own(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col(take), F.lit(0)).cast("int")), ""))
+    return rows.select(*(text.alias(x) if x == text_col else own(x) for x in docs.columns))
 
 
 SQL = """

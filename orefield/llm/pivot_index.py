@@ -21,17 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from orefield.llm import common as c
-from orefield.llm.components import components
+from orefield.llm.components import components, least_of_component
 
 COSINE = 0.98
 #: Nearest pivots that describe a vector, and how many two vectors must share (2 at least).
 NEAREST, SHARED = 7, 2
 #: Vectors that pivots are chosen from.
-SAMPLE = 4096
+SAMPLE = 8192
 #: Entries of a list that are compared at once.
 BLOCK = 1024
 #: Numbers of pivots; the least that makes the lists of the largest label short is taken.
-PIVOTS = (64, 128, 256)
+PIVOTS = (64, 128, 256, 512, 1024, 2048, 4096)
 SHORT = 64
 
 
@@ -210,9 +210,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     counts = links.groupBy("key").agg(F.sum("n").alias("n"))
     named = components(links, "key", "root").select(F.col("node").alias("key"), "component")
-    about = entries.select("key", "weight").join(counts, "key", "left").join(named, "key", "left")
-    about = about.select("key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "key").alias("component"))
-    full = meta.join(about, "key", "left")
-    least = full.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("least"))
-    full = full.join(least, "component", "left").withColumn("component_id", F.coalesce("least", "vec_id"))
+    about = entries.select("key", "weight").join(counts, "key", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    classes = meta.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"))
+    full = meta.join(about.join(least_of_component(classes, named), "key"), "key", "left").withColumn("component_id", F.coalesce("least", "vec_id"))
     return full.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

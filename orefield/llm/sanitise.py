@@ -100,6 +100,9 @@ def _entity(kind: int, value: str) -> str:
     return KINDS[kind] + ":" + (value.lower() if kind < 2 else "".join(x for x in value if x.isdigit()))
 
 
+#: Bytes of documents that a bucket of words is for, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 16384
+
 _FOUND = "doc_id long, doc long, spans string, counts array<long>, entities array<string>, text string, p int, blob binary"
 
 
@@ -279,7 +282,7 @@ def disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(found, strong): found has a row for each row of docs, with its base spans, and its text if it has any; strong (doc, words) the hashes of its words that disclose one of its entities."""
     spark = docs.sparkSession
     c.importable(spark)
-    buckets = c.partitions(spark)
+    buckets = c.buckets_for(docs, BUCKET_BYTES, MOST_BUCKETS)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("doc"), F.col(text_col).cast("string").alias("text"))
     table = c.written(own.mapInArrow(_find(buckets), _FOUND), "found")
     found = table.where("blob is null").select("doc_id", "doc", "spans", "counts", "text")
@@ -352,9 +355,10 @@ def applied(text: str | None, actions: str) -> str | None:
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
-    """docs with sanitised texts; all rows and other columns stay.  Ids identify rows: rows that share one must share the text."""
-    actions = sanitise_spans(docs, id_col, text_col, **thresholds).where("actions <> ''").select(F.col("doc_id").alias("__id"), F.col("actions").alias("__actions")).distinct()
-    joined = docs.join(actions, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
+    """docs with sanitised texts; all rows and other columns, whatever they are called, stay.  Ids identify rows: rows that share one must share the text."""
+    key, what = c.free_names(docs, "doc", "actions")
+    actions = sanitise_spans(docs, id_col, text_col, **thresholds).where("actions <> ''").select(F.col("doc_id").alias(key), F.col("actions").alias(what)).distinct()
+    joined = docs.join(actions, c.own(id_col).cast("long").eqNullSafe(F.col(key)), "left")
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -363,4 +367,4 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
             own[at] = pa.array([applied(t.as_py(), a.as_py() or "") for t, a in zip(own[at], batch.column(batch.num_columns - 1), strict=True)], own[at].type)
             yield pa.RecordBatch.from_arrays(own, names=batch.schema.names[:-1])
 
-    return joined.select(*docs.columns, "__actions").mapInArrow(run, docs.schema)
+    return c.map_rows(joined.select(*map(c.own, docs.columns), what), run, docs.schema)

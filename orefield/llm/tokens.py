@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 
 from orefield.llm import common as c
-from orefield.llm.common import U64
+from orefield.llm.common import U64, ragged
 
 #: Places for remembered pieces, and the most ids of one that is remembered.
 SLOT_BITS = 20
@@ -228,12 +228,6 @@ class Encoder:
             yield rows, ids, np.diff(sums[np.searchsorted(starts, offsets)])
 
 
-def ragged(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The numbers begins, begins + 1, ... of each run of counts."""
-    ends = np.cumsum(counts)
-    return np.repeat(begins - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
-
-
 c.forgetters.append(_encoders.clear)
 
 
