@@ -33,15 +33,18 @@ BLOCK = 1024
 #: Numbers of pivots; the least that makes the lists of the largest label short is taken.
 PIVOTS = (64, 128, 256, 512, 1024, 2048, 4096)
 SHORT = 64
+APART = 0.8
 
 
 def choose_pivots(sample: np.ndarray, k: int) -> np.ndarray:
-    """k unit vectors, each the one of the sample that is farthest from those before; random ones if the sample is smaller."""
+    """k unit vectors, each the one of the sample that is farthest from those before; random ones where none is left with a cosine below APART to all: copies of each other, as pivots, would tell neighbours apart."""
     rng = np.random.default_rng(11)
     out = [sample[0]]
     nearest = sample @ out[0]
     while len(out) < min(k, len(sample)):
         i = int(nearest.argmin())
+        if nearest[i] > APART:
+            break
         out.append(sample[i])
         nearest = np.maximum(nearest, sample @ out[-1])
     more = rng.normal(size=(k - len(out), sample.shape[1]))
