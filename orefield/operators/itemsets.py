@@ -31,12 +31,12 @@ def _pairs(items: Column) -> Column:
     return F.flatten(F.transform(items, lambda a, i: F.transform(_after(items, i), lambda b: F.struct(a.alias("i1"), b.alias("i2")))))
 
 
-def item_support(sets: DataFrame, threshold: int) -> DataFrame:
+def item_support(sets: DataFrame, threshold: float) -> DataFrame:
     """(item, support) of items in more than threshold baskets (instances, for ordered baskets)."""
     return sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("support")).where(F.col("support") > threshold)
 
 
-def _only_frequent(sets: DataFrame, threshold: int) -> DataFrame:
+def _only_frequent(sets: DataFrame, threshold: float) -> DataFrame:
     """Baskets without infrequent items, which no frequent set holds."""
     rows = sets.select("basket", F.posexplode("items").alias("p", "item"))
     kept = rows.join(item_support(sets, threshold).select("item"), "item", "left_semi")
@@ -44,13 +44,13 @@ def _only_frequent(sets: DataFrame, threshold: int) -> DataFrame:
     return kept.groupBy("basket").agg(items.alias("items"))
 
 
-def pair_support(sets: DataFrame, threshold: int) -> DataFrame:
+def pair_support(sets: DataFrame, threshold: float) -> DataFrame:
     """(i1, i2, support) of pairs in more than threshold baskets; i1 stands before i2."""
     pairs = _only_frequent(sets, threshold).select(F.explode(_pairs(F.col("items"))).alias("p")).select("p.*")
     return pairs.groupBy("i1", "i2").agg(F.count("*").alias("support")).where(F.col("support") > threshold)
 
 
-def triple_support(sets: DataFrame, pair_threshold: int, threshold: int) -> DataFrame:
+def triple_support(sets: DataFrame, pair_threshold: float, threshold: float) -> DataFrame:
     """(i1, i2, i3, support) of triples in more than threshold baskets, all of whose pairs are in more than pair_threshold."""
     items = F.col("items")
     triples = F.flatten(F.flatten(F.transform(items, lambda a, i: F.transform(_after(items, i), lambda b, j: F.transform(F.slice(items, i + j + 3, F.size(items)), lambda d: F.struct(a.alias("i1"), b.alias("i2"), d.alias("i3")))))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orefield.operators import cf as ops
 from orefield.plans.registry import query, table
+from orefield.sources.scratch import written
 
 _RATINGS = "ratings AS (SELECT o_custkey AS u, p_brand AS item, avg(l_quantity) / 10 AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 _SUMS = f"{_RATINGS}, sums AS (SELECT item, count(*) AS n, sum(r) AS s, sum(r * r) AS q, sum(r) / count(*) AS m FROM ratings GROUP BY item), users AS (SELECT count(DISTINCT u)::DOUBLE AS u FROM ratings)"
@@ -27,7 +28,7 @@ def _ratings(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("item"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    return lines.join(parts, "l_partkey").join(orders, "l_orderkey").groupBy("user", "item").agg((F.avg("l_quantity") / 10).alias("rating")).cache()
+    return written(lines.join(parts, "l_partkey").join(orders, "l_orderkey").groupBy("user", "item").agg((F.avg("l_quantity") / 10).alias("rating")), "ratings")
 
 
 @query(f"WITH {_SIMILAR} SELECT i, j, round(similarity, 5) AS similarity FROM similar_items")

@@ -8,6 +8,8 @@ from orefield.functions import scalars
 from orefield.operators import clustering as ops
 from orefield.operators.graph import adjusted_rand
 from orefield.plans.registry import query, table
+from orefield.sources import readers
+from orefield.sources.scratch import shared_path
 
 _DIMS = "dims AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 _CENTRES = f"{_DIMS}, centres AS (SELECT label AS cluster, dim, avg(x) AS m FROM dims GROUP BY label, dim)"
@@ -63,6 +65,25 @@ def cluster_profile(spark, sf_dir):
     return ops.profile(_assigned(spark, sf_dir), "label")
 
 
+@query(f"WITH {_NEAREST} SELECT cluster::BIGINT AS cluster, " + ", ".join(f'count(*) FILTER (WHERE label = {x}) AS "{x}"' for x in range(10)) + " FROM nearest JOIN embeddings USING (vec_id) GROUP BY 1")
+def cluster_pivot(spark, sf_dir):
+    return ops.pivoted(ops.profile(_assigned(spark, sf_dir), "label"), list(range(10)))
+
+
+_RAND = """s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS x, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY a)) AS a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY b)) AS b, (SELECT sum(n) FROM t) AS n)
+SELECT round((x - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 6) AS ari FROM s"""
+
+
+@query(f"WITH {_NEAREST}, t AS (SELECT label AS a, cluster AS b, count(*) AS n FROM nearest JOIN embeddings USING (vec_id) GROUP BY 1, 2), {_RAND}")
+def rand_by_vertex(spark, sf_dir):
+    """Predicted clusters against the true ones of a circles file, joined by vertex."""
+    path = shared_path(spark, "circles")
+    members = _points(spark, sf_dir).groupBy("label").agg(F.array_join(F.collect_list(F.col("id").cast("string")), "\t").alias("m"))
+    members.select(F.concat_ws("\t", F.concat(F.lit("circle"), F.col("label")), "m").alias("value")).write.text(path)
+    true = readers.read_circles(spark, path).select(F.col("node").alias("id"), F.col("label").alias("a"))
+    return adjusted_rand(_assigned(spark, sf_dir).select("id", F.col("cluster").alias("b")).join(true, "id")).select(F.round("ari", 6).alias("ari"))
+
+
 @query(f"""WITH {_DIMS}, stats AS (SELECT label, dim, avg(x) AS m, sqrt(greatest(sum(x * x) / count(*) - avg(x) * avg(x), 0)) AS s FROM dims GROUP BY 1, 2)
 SELECT vec_id, round(sqrt(sum(pow(CASE WHEN s > 0 THEN (x - m) / s ELSE x - m END, 2))), 4) AS dist FROM dims JOIN stats USING (label, dim) GROUP BY vec_id""")
 def mahalanobis(spark, sf_dir):
@@ -88,6 +109,30 @@ def kmeans(spark, sf_dir):
     return ops.kmeans(_points(spark, sf_dir).drop("label"), 9)[0].select(F.col("id").alias("vec_id"), "cluster", F.round("dist", 4).alias("dist"))
 
 
+#: Clusters and rounds of k-means from a fixed start: the first vectors.
+LLOYD, ROUNDS = 6, 3
+_ROUND = """, a{0} AS (SELECT vec_id, cluster, dist FROM (SELECT vec_id, cluster, sqrt(sum((x - m) * (x - m))) AS dist, row_number() OVER (PARTITION BY vec_id ORDER BY sqrt(sum((x - m) * (x - m))), cluster) AS k FROM dims JOIN c{0} USING (dim) GROUP BY vec_id, cluster) WHERE k = 1),
+c{1} AS (SELECT c.cluster, c.dim, coalesce(avg(d.x), any_value(c.m)) AS m FROM c{0} c LEFT JOIN (SELECT cluster, dim, x FROM a{0} JOIN dims USING (vec_id)) d ON c.cluster = d.cluster AND c.dim = d.dim GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_DIMS}, c0 AS (SELECT k - 1 AS cluster, dim, x AS m FROM dims JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings) USING (vec_id) WHERE k <= {LLOYD})" + "".join(_ROUND.format(r, r + 1) for r in range(ROUNDS + 1)) + f" SELECT vec_id, cluster::BIGINT AS cluster, round(dist, 4) AS dist FROM a{ROUNDS}")
+def kmeans_rounds(spark, sf_dir):
+    points = _points(spark, sf_dir).drop("label")
+    start = [(k, r.v) for k, r in enumerate(points.orderBy("id").limit(LLOYD).collect())]
+    return ops.lloyd(points, start, ROUNDS)[0].select(F.col("id").alias("vec_id"), "cluster", F.round("dist", 4).alias("dist"))
+
+
+@query(f"""WITH {_DIMS}, stats AS (SELECT label, dim, avg(x) AS m, sqrt(greatest(sum(x * x) / count(*) - avg(x) * avg(x), 0)) AS s FROM dims WHERE vec_id % 2 = 0 GROUP BY 1, 2),
+scored AS (SELECT vec_id, stats.label AS cluster, sqrt(sum(pow((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 2))) AS dist FROM dims JOIN stats USING (dim) WHERE vec_id % 2 = 1 GROUP BY 1, 2)
+SELECT vec_id, cluster::BIGINT AS cluster, round(dist, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cluster) AS k FROM scored) WHERE k = 1 AND dist < 1.2 * sqrt(64)""")
+def bfr_assign(spark, sf_dir):
+    """One round of assignment: odd vectors to the summaries of the labels of even ones."""
+    points = _labelled(spark, sf_dir)
+    known = ops.totals(points.where("id % 2 = 0"))
+    near, _ = ops.bfr_step(points.drop("cluster", "label").where("id % 2 = 1"), sorted(known, key=lambda r: r["cluster"]), 1.2 * 64**0.5)
+    return near.select(F.col("id").alias("vec_id"), "cluster", F.round("dist", 4).alias("dist"))
+
+
 @query()
 def bfr(spark, sf_dir):
     return ops.bfr(_points(spark, sf_dir).drop("label"), 9, 4)[0].select(F.col("id").alias("vec_id"), "cluster", F.round("dist", 4).alias("dist"))

@@ -23,6 +23,27 @@ def csv_quoted(spark, sf_dir):
     return readers.read_csv(spark, path, part.schema)
 
 
+def _with_preamble(spark, sf_dir, name, preamble):
+    """A CSV file of parts under the lines of a preamble."""
+    path = shared_path(spark, name)
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.to_csv(F.struct("p_partkey", "p_name", "p_brand")).alias("value"))
+    head = spark.createDataFrame([(k - len(preamble), x) for k, x in enumerate(preamble)], "p_partkey long, value string")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("p_partkey").select("value").write.text(path)  # one file, as the source has it
+    return path
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part")
+def csv_after_rows(spark, sf_dir):
+    path = _with_preamble(spark, sf_dir, "preamble", ["parts,,", "id,name,brand", "1,not a part,"])
+    return readers.read_csv_skipping(spark, path, "p_partkey long, p_name string, p_brand string", 3)
+
+
+@query("SELECT p_partkey::VARCHAR AS id, p_name AS name, p_brand AS brand FROM part")
+def csv_two_headers(spark, sf_dir):
+    path = _with_preamble(spark, sf_dir, "headers", ["part,part,part", "id,name,brand", ",,"])
+    return readers.read_csv_headed(spark, path, 1, 3)
+
+
 @query("SELECT c_custkey::VARCHAR AS key, c_mktsegment AS segment FROM customer")
 def csv_naive(spark, sf_dir):
     path = shared_path(spark, "fields")
@@ -40,8 +61,8 @@ def tsv(spark, sf_dir):
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def json_documents(spark, sf_dir):
     path, nation = shared_path(spark, "json"), table(spark, sf_dir, "nation")
-    nation.write.json(path)
-    return spark.read.schema(nation.schema).json(path)
+    nation.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)  # one small document: an array of all
+    return readers.read_json(spark, path, nation.schema)
 
 
 @query("SELECT o_custkey AS node, unnest(list(DISTINCT o_orderkey)) AS friend FROM orders GROUP BY o_custkey")

@@ -1,16 +1,47 @@
-"""Paths in the folder that all executors share."""
+"""Intermediate tables in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+_paths: list[tuple[SparkSession, str]] = []
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in spark.checkpoint.dir; in a folder of our own where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_orefield_shared", None)
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one of our own, on a local master only."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_orefield_dir", None)
     if not named:
-        named = spark.sparkContext._orefield_shared = "file://" + tempfile.mkdtemp(prefix="orefield-")
-    return f"{named.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = sc._orefield_dir = "file://" + tempfile.mkdtemp(prefix="orefield-")
+    return named.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, deleted when Python ends."""
+    path = f"{shared_dir(spark)}/orefield/{uuid.uuid4().hex}/{name}"
+    _paths.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: computed once, cuts the lineage, outlives executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _paths:
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended; nothing is left to delete with
+            return

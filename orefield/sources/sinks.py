@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 log = logging.getLogger("orefield")
 
@@ -34,6 +34,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def write_metrics(spark: SparkSession, path: str, **metrics: float) -> None:
+    """One row of named numbers, as JSON."""
+    spark.createDataFrame([tuple(float(x) for x in metrics.values())], ", ".join(f"`{k}` double" for k in metrics)).coalesce(1).write.json(path)
+
+
 def show_batches(df: DataFrame, n: int = 10, order: list | None = None, trigger: dict | None = None):
     """Start a stream that prints the first n rows of each batch's result, in an order; returns the running query."""
 

@@ -8,11 +8,12 @@ checkpointed store and survives batches and executors.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orefield.operators.summaries import DECAY, WINDOWS
@@ -100,8 +101,9 @@ def decayed_stream(elements: DataFrame, key: str = "key", seq: str | tuple[str,
 def reservoir_stream(elements: DataFrame, key: str = "key", seq: str | tuple[str, ...] = "seq", element: str = "element", size: int = 1000, seed: int = 0) -> DataFrame:
     """(key, n, element): after each batch, a uniform sample of at most size elements seen of the keys in it (Algorithm R).
 
-    The draw for the n-th element depends on seed and n alone, so a batch that
-    is run again samples alike.
+    The draw for the n-th element is a hash of seed and n, modulo n + 1 (its
+    32 bits favour low places by less than n in 2**32), so a batch that is run
+    again samples alike.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -111,7 +113,7 @@ def reservoir_stream(elements: DataFrame, key: str = "key", seq: str | tuple[str
             if n < size:
                 sample.append(e)
             else:
-                j = int(np.random.default_rng((seed, n)).integers(n + 1))
+                j = int(hashlib.md5(f"{seed}:{n}".encode()).hexdigest()[:8], 16) % (n + 1)
                 if j < size:
                     sample[j] = e
             n += 1
@@ -122,6 +124,13 @@ def reservoir_stream(elements: DataFrame, key: str = "key", seq: str | tuple[str
     return own.where("element is not null").groupBy("key").applyInPandasWithState(step, "key string, n long, element string", "sample array<string>, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def most_frequent(sampled: DataFrame, n: int = 5) -> DataFrame:
+    """(key, rank, element, n_sampled): the n most frequent elements of each key's sample, ties by element; sampled has key and element."""
+    counts = sampled.groupBy("key", "element").agg(F.count("*").alias("n_sampled"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n_sampled"), "element"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= n).select("key", F.col("rank").cast("long"), "element", "n_sampled")
+
+
 def run_to_end(stream: DataFrame, write, checkpoint: str) -> None:
     """Process all that is there, one micro-batch after the other; write(batch, number) gets each one's rows."""
     stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -56,7 +56,66 @@ def test_replay_and_batches(spark, tmp_path):
     assert streams.random_bits(spark).isStreaming and streams.socket_lines.__doc__
 
 
-def test_entry():
+def test_replay_with_gaps(spark, tmp_path):
+    events = spark.createDataFrame([(0, 1000), (1, 1010), (2, 1300), (3, 1301), (4, 1250), (5, None)], "id long, s long").select("id", F.timestamp_seconds("s").alias("ts"))
+    assert streams.write_replay(events, f"file://{tmp_path}/replay", "ts", 60) == 3
+    seen = []
+    streams.replayed_files(spark, f"file://{tmp_path}/replay", events.schema).writeStream.foreachBatch(lambda batch, k: seen.append(sorted(r.id for r in batch.collect()))).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start().awaitTermination()
+    assert seen == [[0, 1], [4], [2, 3]]
+    assert streams.write_replay(events.limit(0), f"file://{tmp_path}/none", "ts", 60) == 0
+
+
+def test_preamble_by_rows(spark, tmp_path):
+    path = put(tmp_path, "p.csv", 'x,y\nid,"the, name"\n7,skipped\n3,"a, b"\n4,"say ""c"""\nz,d\n')
+    assert rows(readers.read_csv_skipping(spark, path, "id int, t string", 3)) == [(3, "a, b"), (4, 'say "c"'), (None, "d")]
+    headed = readers.read_csv_headed(spark, path, 1, 3)
+    assert headed.columns == ["id", "the, name"] and headed.count() == 3
+    lines = spark.range(20000).selectExpr("concat(id, ',x') as value")
+    lines.coalesce(1).sortWithinPartitions("value").write.text(f"file://{tmp_path}/many")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        many = readers.read_csv_skipping(spark, f"file://{tmp_path}/many", "id long, t string", 5)
+        assert many.rdd.getNumPartitions() > 3 and many.count() == 19995
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_of_each_graph(spark, tmp_path):
+    for g in (0, 1):
+        (tmp_path / f"graph={g}").mkdir()
+        (tmp_path / f"graph={g}" / "e").write_text(f"{g} 5\n")
+    assert sorted(rows(readers.read_edges(spark, str(tmp_path), "graph"))) == [(0, 0, 5), (1, 1, 5)]
+
+
+def test_metrics(spark, tmp_path):
+    sinks.write_metrics(spark, f"file://{tmp_path}/m", rmse=0.5, seconds=2)
+    assert spark.read.json(f"file://{tmp_path}/m").first().asDict() == {"rmse": 0.5, "seconds": 2.0}
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    import pytest
+
+    from orefield.sources import scratch
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Session())
+
+
+def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+    assert e.entry(spark).count() > 0

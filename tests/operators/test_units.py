@@ -173,6 +173,61 @@ def test_recommendations(spark):
     assert {(r.a, r.b): r.mutual for r in graph.recommendations(edges).collect()} == {(1, 3): 1, (3, 1): 1, (1, 4): 1, (4, 1): 1}
 
 
+def test_pairs_of_hubs_in_cells(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = {(rng.randrange(4), rng.randrange(60)) for _ in range(150)}
+    want = {}
+    for u in range(4):
+        own = sorted(v for x, v in rows if x == u)
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame(sorted(rows), "u long, v long")
+    monkeypatch.setattr(graph, "HUB", 7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert {(r.a, r.b): r.n for r in graph.pair_counts(df, "u", "v").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    few = spark.createDataFrame(df.collect(), df.schema).limit(1000)
+    assert {(r.a, r.b): r.n for r in graph.pair_counts(few, "u", "v").collect()} == want
+
+
+def test_exact_pairs_against_all_pairs(spark):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcd ") for _ in range(rng.choice([5, 9, 40, 80]))) for _ in range(25)]
+    texts = base + [x[: len(x) // 2] + "z" + x[len(x) // 2 :] for x in base] + [x + "ab" for x in base] + [None, ""]
+    sets = [{(t or "")[:8]} | {t[i : i + 9] for i in range(len(t) - 8)} if t and len(t) >= 8 else set() for t in texts]
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a & b and len(a & b) >= 0.5 * len(a | b)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.a, r.b): r.jaccard for r in lsh.exact_pairs(docs, 0.5).collect()} == pytest.approx(want)
+    assert len(want) > 20
+
+
+def test_signatures_hash_every_shingle(spark):
+    text = "Ünïcode ŤEXT with 👍 and more of it"
+    low = text.lower()
+
+    def poly(x):
+        h = 0
+        for ch in x:
+            h = (h + ord(ch)) * lsh.BASE % 100_000_000
+        return h
+
+    hashes = {poly(low[:8]), *(poly(low[i : i + 9]) for i in range(len(low) - 8))}
+    assert set(lsh.shingle_hashes(text).tolist()) == hashes
+    out = lsh.signatures(spark.createDataFrame([(1, text), (2, None), (3, "short"), (4, "eight ch")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.signature for r in out} == {1: [min((a * h + b) % lsh.MODULUS for h in hashes) for a, b in lsh.coefficients()], 4: [(a * poly("eight ch") + b) % lsh.MODULUS for a, b in lsh.coefficients()]}
+
+
+def test_bfr_keeps_single_points_apart(spark):
+    rng = random.Random(1)
+    rows = [(k, [rng.gauss(10 * (k % 3), 0.3), rng.gauss(0, 0.3)]) for k in range(300)] + [(1000 + k, [500.0 * (k + 1), -900.0 * k]) for k in range(6)]
+    points = spark.createDataFrame(rows, "id long, v array<double>")
+    found, summaries_ = clustering.bfr(points, 3, 4)
+    assert found.count() == 306 and sum(r["n"] for r in summaries_) == 306
+
+
 def test_spectrum_of_two_cliques(spark):
     pairs = [(a, b) for s in (0, 10) for a, b in combinations(range(s, s + 5), 2)] + [(0, 10)]
     edges = graph.undirected(spark.createDataFrame(pairs, "src long, dst long")).select(F.lit(1).alias("graph"), "src", "dst", F.lit(1.0).alias("weight"))
