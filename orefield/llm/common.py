@@ -9,12 +9,10 @@ collide with probability of about n*n / 2**65.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import os
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
@@ -22,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from orefield.sources.scratch import shared_path as scratch_path, written  # noqa: F401
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -40,46 +40,6 @@ ALNUM_OR_WIDE = np.zeros(256, bool)
 ALNUM_OR_WIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-# ---------------------------------------------------------------- scratch tables
-
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one of our own, on a local master only."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_orefield_dir", None)
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = sc._orefield_dir = "file://" + tempfile.mkdtemp(prefix="orefield-")
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/orefield/{uuid.uuid4().hex}/{name}"
-    _scratch.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage and outlives executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path, compression="zstd")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _scratch:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended; nothing is left to delete with
-            return
-
-
 def importable(spark: SparkSession) -> None:
     """Send this package to the executors of a cluster, once per context."""
     sc = spark.sparkContext
