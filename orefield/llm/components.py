@@ -11,9 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Parts that the members of a component are dealt over when they are told its name.
-SALTS = 16
-
 from orefield.llm.common import written
 
 
@@ -44,10 +41,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 def least_of_component(classes: DataFrame, of_class: DataFrame) -> DataFrame:
     """(key, least) of each class of classes (key, least): the least one of its component in of_class (key, component), if it has any.
 
-    Null is passed over.  Classes are told their component's least one in
-    SALTS parts, so a component of very many classes isn't one task's.
+    Null is passed over.  Copies meet as one class, so what is joined by
+    component are classes; Spark splits the join of a component of very many.
     """
     linked = classes.join(of_class, "key")
-    best = linked.groupBy("component").agg(F.min("least").alias("better")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    told = linked.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(best, ["component", "salt"]).select("key", "better")
+    told = linked.join(linked.groupBy("component").agg(F.min("least").alias("better")), "component").select("key", "better")
     return classes.join(told, "key", "left").select("key", F.coalesce("better", "least").alias("least"))

@@ -94,7 +94,7 @@ def _post(pivots_of, k: int, m: int):
                 key, weight = keys.take(pa.array(own)).to_numpy(), weights.take(pa.array(own)).to_numpy()
                 for i, j in combinations(range(perms.shape[1]), 2):
                     lo, hi = perms[:, i].astype(np.int32), perms[:, j].astype(np.int32)
-                    bucket = c.mix(label.view(np.uint64) ^ (lo.astype(np.uint64) << np.uint64(20)) ^ (hi.astype(np.uint64) << np.uint64(4)) ^ np.uint64(dim << 40)).view(np.int64)
+                    bucket = c.mix(label.view(np.uint64) ^ (lo.astype(np.uint64) << np.uint64(20)) ^ (hi.astype(np.uint64) << np.uint64(4)) ^ np.uint64(int(dim) << 40)).view(np.int64)
                     n = len(own)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(lo), pa.array(hi), pa.array((c.mix(key.view(np.uint64)) >> np.uint64(33)).astype(np.int32)), pa.array(key), pa.array(weight), pa.array(np.full(n, raw.itemsize, np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "lo", "hi", "side", "key", "weight", "kind", "vector"])
 

@@ -7,7 +7,7 @@ that are to be learned (the assistant's turns).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 OPEN, BREAK, CLOSE = "<|", "|>\n", "<|end|>\n"
 LEARNED_ROLE = "assistant"
@@ -26,16 +26,11 @@ def _rendered(turns: Column) -> Column:
 
 
 def _spans(turns: Column, learned_role: str) -> Column:
-    """start:end, in code points of the rendered turns, of what the learned role says, joined by commas."""
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
-
-    def add(state: Column, turn: Column) -> Column:
-        start = state["at"] + F.length(_head(turn))
-        end = start + F.length(_body(turn))
-        span = F.when(turn["role"] == learned_role, F.array(F.concat_ws(":", start.cast("string"), end.cast("string")))).otherwise(F.array().cast("array<string>"))
-        return F.struct(end.cast("long").alias("at"), F.concat(state["spans"], span).alias("spans"))
-
-    return F.array_join(F.aggregate(turns, none, add)["spans"], ",")
+    """start:end, in code points of the rendered turns, of what the learned role says, joined by commas; a turn knows where it ends."""
+    first = F.get(turns, F.lit(0))
+    before = first["end"] - first["size"]
+    place = lambda t: F.concat_ws(":", (t["end"] - t["said"] - before).cast("string"), (t["end"] - before).cast("string"))
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == learned_role), place), ",")
 
 
 def preference_pairs(turns: DataFrame, pair: str = "pair_id", chosen: str = "chosen", turn: str = "turn", role: str = "role", text: str = "text", learned_role: str = LEARNED_ROLE) -> DataFrame:
@@ -52,7 +47,11 @@ def preference_pairs(turns: DataFrame, pair: str = "pair_id", chosen: str = "cho
     one row; turns of many pairs never are.
     """
     own = turns.select(F.col(pair).alias("pair_id"), F.col(chosen).cast("boolean").alias("c"), F.struct(F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text")).alias("t"))
-    both = own.where("c is not null").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.when(F.col("c"), F.col("t")))).alias("a"), F.array_sort(F.collect_list(F.when(~F.col("c"), F.col("t")))).alias("b"))
+    # running lengths: a turn's end, from any place, without another pass over the turns before it
+    own = own.where("c is not null").withColumn("said", F.length(_body(F.col("t")))).withColumn("size", F.length(_head(F.col("t"))) + F.col("said"))
+    until = F.sum("size").over(Window.partitionBy("pair_id").orderBy("c", "t").rowsBetween(Window.unboundedPreceding, 0))
+    own = own.withColumn("end", until).select("pair_id", "c", F.struct("t.turn", "t.role", "t.text", "end", "size", "said").alias("t"))
+    both = own.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.when(F.col("c"), F.col("t")))).alias("a"), F.array_sort(F.collect_list(F.when(~F.col("c"), F.col("t")))).alias("b"))
     same = F.zip_with("a", "b", lambda x, y: x.isNotNull() & y.isNotNull() & x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
     first = F.array_position(same, False)
     both = both.withColumn("n", F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int"))

@@ -171,3 +171,12 @@ def test_pages_of_a_table(spark):
     out = mincut_html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(r.n_chars for r in out) == sorted([0, len(mincut_html.extract(PAGE)), len(mincut_html.extract(PAGE)), 99999])
     assert json.dumps(sorted(str(r.page_id) for r in out)) == '["1", "1", "2", "None"]'
+
+
+def test_preferences_of_very_long_conversations(spark):
+    rows = [(7, c, k, "assistant" if k % 2 else "user", "w" * (k % 50) + ("" if k < 3000 or c else "!")) for c in (True, False) for k in range(6000)]
+    df = spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string").repartition(4)
+    (r,) = preference_pairs(df).collect()
+    assert (r.n_shared, r.n_chosen, r.n_rejected) == (3000, 6000, 6000)
+    spans = [tuple(map(int, x.split(":"))) for x in r.rejected_spans.split(",")]
+    assert len(spans) == 1500 and all(r.rejected[a:b] == "w" * (k % 50) + "!<|end|>\n" for (a, b), k in zip(spans, range(3001, 6000, 2)))
