@@ -4,8 +4,8 @@ A text is the average of the embeddings of its byte n-grams, hashed into a
 fixed number of buckets; a linear softmax over the average names the language.
 Embeddings and softmax are trained together by stochastic gradient descent in
 numpy on a bounded sample.  A part of the sample is held back to scale the
-softmax (one temperature) and to set the confidence below which a prediction
-is rejected.  As both layers are linear, prediction adds one row of scores for
+softmax (one temperature), and to set the confidence, and the share of n-grams
+that training has seen, below which a prediction is rejected.  As both layers are linear, prediction adds one row of scores for
 each n-gram.
 """
 
@@ -29,6 +29,8 @@ EPOCHS = 10
 RATE = 0.5
 #: Share of right predictions, on the part held back, that rejection may cost.
 REJECTED = 0.001
+#: Of the share of known n-grams that all but so few right predictions have, what a text needs.
+FAMILIAR = 0.75
 UNKNOWN = "und"
 
 _FOLD = c.LOWER.copy()
@@ -77,10 +79,12 @@ class Model:
     bias: np.ndarray
     temperature: float
     least: float  # confidence below which a prediction is rejected
+    seen: np.ndarray | None = None  # whether the sample has n-grams of a bucket
+    familiar: float = 0.0  # share of such n-grams below which a text is in no learned language
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, confidence and acceptance of each text; texts without letters are unknown, with 0, and rejected."""
-        names, scores = [], []
+        names, scores, strange = [], [], []
         for _, rows, data, offsets in c.text_blocks(column, 1 << 19):
             letters = has_letters(data, offsets)
             buckets, of = gram_buckets(data, offsets)
@@ -91,8 +95,12 @@ class Model:
             best = p.argmax(axis=1)
             names += [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
             scores.append(np.where(known, p.max(axis=1), 0.0))
+            if self.seen is None:
+                strange.append(np.zeros(rows, bool))
+            else:
+                strange.append(np.bincount(of, self.seen[buckets], rows) < self.familiar * held)
         scores = np.concatenate(scores) if scores else np.zeros(0)
-        return names, scores, np.array([x != UNKNOWN for x in names], bool) & (scores >= self.least)
+        return names, scores, np.array([x != UNKNOWN for x in names], bool) & (scores >= self.least) & ~np.concatenate([np.zeros(0, bool), *strange])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -136,6 +144,11 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mod
         right = p.max(axis=1)[p.argmax(axis=1) == y]
         # a right prediction of an unseen text is about this seldom less certain, and half is enough for any
         model.least = float(min(0.5, np.quantile(right, REJECTED))) if len(right) else 0.0
+        model.seen = np.zeros(BUCKETS, bool)
+        for _, b, _, _ in train:
+            model.seen[b.astype(np.int64)] = True
+        shares = np.array([n[model.seen[b.astype(np.int64)]].sum() / total for _, b, n, total in back])[p.argmax(axis=1) == y]
+        model.familiar = float(FAMILIAR * np.quantile(shares, REJECTED)) if len(shares) else 0.0
     return model
 
 

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from orefield.llm import decontam, jaccard_join, langid, mixture, sanitise
@@ -368,3 +369,19 @@ def test_language_of_odd_texts(spark, tiny):
     none = langid.train(empty)
     assert langid.identify(empty, none).collect() == []
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
+
+
+def test_rejection_catches_wrong_predictions(spark):
+    """Texts in languages that were never learned can only be named wrongly: nearly all are rejected, and hardly any right prediction is."""
+    rng = np.random.default_rng(6)
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(df)
+    alphabets = ["абвгдежзиклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω", "漢字仮名交換紀錄處理語言日本中国", "qxzjkvwpfgybmcdl", "אבגדהוזחטיכלמנסעפצקרשת"]
+    strange = [" ".join("".join(rng.choice(list(a), rng.integers(2, 9))) for _ in range(60)) for a in alphabets for _ in range(20)]
+    caught = 1 - np.mean(model.predict(pa.array(strange))[2])
+    out = langid.identify(df, model).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'").collect()
+    wrong = [r for r in out if r.lang_pred != r.lang]
+    right = [r for r in out if r.lang_pred == r.lang]
+    print("strange texts caught", caught, "wrong", len(wrong), "of these caught", sum(not r.accepted for r in wrong), "right", len(right), "of these lost", sum(not r.accepted for r in right))
+    assert caught >= 0.95
+    assert sum(r.accepted for r in right) >= 0.995 * len(right)
