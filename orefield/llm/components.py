@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from orefield.llm.common import written
 
+#: Parts that the classes of a component are dealt into when they are told its name.
+PARTS = 16
+
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): for each node of an edge, the least node reachable from it.
@@ -41,9 +44,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 def least_of_component(classes: DataFrame, of_class: DataFrame) -> DataFrame:
     """(key, least) of each class of classes (key, least): the least one of its component in of_class (key, component), if it has any.
 
-    Null is passed over.  Copies meet as one class, so what is joined by
-    component are classes; Spark splits the join of a component of very many.
+    Null is passed over.  Copies meet as one class.  The classes of a component
+    are dealt into PARTS parts, which are asked for their least and told the
+    component's one by one: a component of very many classes isn't one task's.
     """
-    linked = classes.join(of_class, "key")
-    told = linked.join(linked.groupBy("component").agg(F.min("least").alias("better")), "component").select("key", "better")
+    linked = classes.join(of_class, "key").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+    parts = linked.groupBy("component", "part").agg(F.min("least").alias("least"))
+    best = parts.groupBy("component").agg(F.min("least").alias("better"), F.collect_list("part").alias("parts")).select("component", "better", F.explode("parts").alias("part"))
+    told = linked.join(best, ["component", "part"]).select("key", "better")
     return classes.join(told, "key", "left").select("key", F.coalesce("better", "least").alias("least"))
