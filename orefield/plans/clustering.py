@@ -104,6 +104,13 @@ def adjusted_rand_index(spark, sf_dir):
     return adjusted_rand(rows).select(F.round("ari", 6).alias("ari"))
 
 
+@query('SELECT vec_id, dim::INT AS dim, round(x, 6) AS x FROM (SELECT vec_id, unnest(range(0, 61)) AS dim, unnest(embedding[2:7] || embedding[9:63])::DOUBLE AS x FROM embeddings)')
+def masked_vectors(spark, sf_dir):
+    """Vectors without their first, eighth and last dimension."""
+    own = _points(spark, sf_dir).select(F.col("id").alias("vec_id"), scalars.masked(F.col("v"), [0, 7, 63]).alias("v"))
+    return own.select("vec_id", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
 @query()
 def kmeans(spark, sf_dir):
     return ops.kmeans(_points(spark, sf_dir).drop("label"), 9)[0].select(F.col("id").alias("vec_id"), "cluster", F.round("dist", 4).alias("dist"))

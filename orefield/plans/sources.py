@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orefield.plans.registry import query, table
-from orefield.sources import readers
+from orefield.sources import readers, sinks
 from orefield.sources.scratch import shared_path
 
 
@@ -23,6 +23,42 @@ def csv_quoted(spark, sf_dir):
     return readers.read_csv(spark, path, part.schema)
 
 
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 7 NOT IN (0, 1)")
+def csv_malformed(spark, sf_dir):
+    """Lines with too few fields, or words where a number belongs, are dropped."""
+    path, part = shared_path(spark, "malformed"), table(spark, sf_dir, "part")
+    good = F.to_csv(F.struct("p_partkey", "p_name", "p_size"))
+    few, words = F.concat_ws(",", "p_partkey", "p_name"), F.to_csv(F.struct("p_partkey", "p_name", "p_brand"))
+    kind = F.col("p_partkey") % 7
+    part.select(F.when(kind == 0, few).when(kind == 1, words).otherwise(good).alias("value")).write.text(path)
+    return readers.read_csv(spark, path, part.select("p_partkey", "p_name", "p_size").schema, header=False)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def dumped_table(spark, sf_dir):
+    """A table in a folder named by the time, read back."""
+    path = sinks.dump(table(spark, sf_dir, "nation"), shared_path(spark, "dump"), "nation", "json")
+    return spark.read.schema(table(spark, sf_dir, "nation").schema).json(path)
+
+
+@query("SELECT p_name AS line FROM (SELECT p_name, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY n DESC, p_name LIMIT 10)")
+def top_key_lines(spark, sf_dir):
+    """The ten most frequent parts as lines of a file."""
+    path = shared_path(spark, "top")
+    names = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    sinks.top_keys(names.groupBy("p_name").agg(F.count("*").alias("n")), "p_name", "n", path)
+    return readers.read_lines(spark, path).select(F.col("value").alias("line"))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1")
+def json_dump(spark, sf_dir):
+    """A result as JSON lines, read back."""
+    path = shared_path(spark, "json_lines")
+    stats = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    sinks.write_json(stats, path)
+    return spark.read.schema(stats.schema).json(path)
+
+
 def _with_preamble(spark, sf_dir, name, preamble):
     """A CSV file of parts under the lines of a preamble."""
     path = shared_path(spark, name)

@@ -87,6 +87,44 @@ def test_files_of_each_graph(spark, tmp_path):
     assert sorted(rows(readers.read_edges(spark, str(tmp_path), "graph"))) == [(0, 0, 5), (1, 1, 5)]
 
 
+def test_lines_from_a_socket(spark, tmp_path):
+    import socket
+    import threading
+    import time
+
+    server = socket.create_server(("localhost", 0))
+
+    def serve():
+        peer, _ = server.accept()
+        peer.sendall(b"one\ntwo\nthree\n")
+        time.sleep(20)
+        peer.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    seen = []
+    lines = streams.socket_lines(spark, "localhost", server.getsockname()[1])
+    query = lines.writeStream.foreachBatch(lambda batch, k: seen.extend(r.value for r in batch.collect())).option("checkpointLocation", f"{tmp_path}/c").start()
+    until = time.time() + 15
+    while len(seen) < 3 and time.time() < until:
+        time.sleep(0.2)
+    query.stop()
+    server.close()
+    assert seen == ["one", "two", "three"]
+
+
+def test_random_bits(spark, tmp_path):
+    import time
+
+    bits = []
+    query = streams.random_bits(spark, 2000, 0.2).writeStream.foreachBatch(lambda batch, k: bits.extend((r.seq, r.bit) for r in batch.collect())).option("checkpointLocation", f"{tmp_path}/c").start()
+    until = time.time() + 20
+    while len(bits) < 3000 and time.time() < until:
+        time.sleep(0.2)
+    query.stop()
+    assert sorted(k for k, _ in bits) == list(range(len(bits))) and len(bits) >= 3000
+    assert abs(sum(b for _, b in bits) / len(bits) - 0.2) < 0.05
+
+
 def test_metrics(spark, tmp_path):
     sinks.write_metrics(spark, f"file://{tmp_path}/m", rmse=0.5, seconds=2)
     assert spark.read.json(f"file://{tmp_path}/m").first().asDict() == {"rmse": 0.5, "seconds": 2.0}
