@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orefield.llm.common import written
 
-#: Parts that the classes of a component are dealt into when they are told its name.
+#: Parts that the rows of a key are dealt into when they are told about it.
 PARTS = 16
 
 
@@ -41,15 +41,31 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
+def parted(rows: DataFrame, of: str) -> DataFrame:
+    """rows with part: a number below PARTS, by a hash of the column of."""
+    return rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64(of), F.lit(PARTS)), F.lit(0)).cast("int"))
+
+
+def classes_of(rows: DataFrame, of: str) -> DataFrame:
+    """(key, least, parts) of parted rows (key, part, of): the least of each key, and the parts that it has rows in."""
+    parts = rows.groupBy("key", "part").agg(F.min(of).alias("least"))
+    return parts.groupBy("key").agg(F.min("least").alias("least"), F.collect_list("part").alias("parts"))
+
+
+def told(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Parted rows with the facts (key, parts, ...) of their keys, null where there are none: a key of very many rows is told in parts."""
+    return rows.join(facts.withColumn("part", F.explode("parts")).drop("parts"), ["key", "part"], "left").drop("part")
+
+
 def least_of_component(classes: DataFrame, of_class: DataFrame) -> DataFrame:
-    """(key, least) of each class of classes (key, least): the least one of its component in of_class (key, component), if it has any.
+    """classes (key, least, ...) with the least one of the class's component in of_class (key, component), if it has any.
 
-    Null is passed over.  Copies meet as one class.  The classes of a component
-    are dealt into PARTS parts, which are asked for their least and told the
-    component's one by one: a component of very many classes isn't one task's.
+    Null is passed over.  The classes of a component are dealt into parts,
+    which are asked for their least and told the component's: a component of
+    very many classes isn't one task's.
     """
-    linked = classes.join(of_class, "key").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
-    parts = linked.groupBy("component", "part").agg(F.min("least").alias("least"))
-    best = parts.groupBy("component").agg(F.min("least").alias("better"), F.collect_list("part").alias("parts")).select("component", "better", F.explode("parts").alias("part"))
-    told = linked.join(best, ["component", "part"]).select("key", "better")
-    return classes.join(told, "key", "left").select("key", F.coalesce("better", "least").alias("least"))
+    linked = parted(classes.select("key", "least").join(of_class, "key"), "key")
+    best = classes_of(linked.select(F.col("component").alias("key"), "part", "least"), "least").withColumnsRenamed({"key": "component", "least": "better"})
+    best = best.withColumn("part", F.explode("parts")).drop("parts")
+    better = linked.join(best, ["component", "part"]).select("key", "better")
+    return classes.join(better, "key", "left").withColumn("least", F.coalesce("better", "least")).drop("better")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orefield.llm import common as c
 from orefield.llm.common import U64
-from orefield.llm.components import components, least_of_component
+from orefield.llm.components import classes_of, components, least_of_component, parted, told
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -346,8 +346,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     all_links = c.written(heavy.unionByName(light), "links")
 
     of_class = components(all_links, "a", "b").select(F.col("node").alias("key"), "component")
-    classes = meta.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    return meta.join(least_of_component(classes, of_class), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    meta = parted(meta, "doc_id")
+    return told(meta, least_of_component(classes_of(meta.where("n > 0"), "doc_id"), of_class)).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

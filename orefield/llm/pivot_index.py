@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from orefield.llm import common as c
-from orefield.llm.components import components, least_of_component
+from orefield.llm.components import classes_of, components, least_of_component, parted, told
 
 COSINE = 0.98
 #: Nearest pivots that describe a vector, and how many two vectors must share (2 at least).
@@ -214,6 +214,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts = links.groupBy("key").agg(F.sum("n").alias("n"))
     named = components(links, "key", "root").select(F.col("node").alias("key"), "component")
     about = entries.select("key", "weight").join(counts, "key", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    classes = meta.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"))
-    full = meta.join(about.join(least_of_component(classes, named), "key"), "key", "left").withColumn("component_id", F.coalesce("least", "vec_id"))
+    meta = parted(meta, "vec_id")
+    classes = classes_of(meta.where("key is not null"), "vec_id")
+    full = told(meta, about.join(least_of_component(classes, named), "key")).withColumn("component_id", F.coalesce("least", "vec_id"))
     return full.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
