@@ -115,8 +115,9 @@ def _deal(k: int, buckets: int):
                 if held >= FLUSH:
                     yield from flush()
             own = np.array(own, np.int64)
+            rows = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy().view(U64)  # not by class alone: copies may be many
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c.range_bucket(own.view(U64), buckets).astype(np.int32)), batch.column(0).cast(pa.int64()), pa.array(np.array(sizes, np.int64)), pa.array(own), pa.nulls(len(own), pa.binary())],
+                [pa.array(c.range_bucket(c.mix(own.view(U64) ^ c.mix(rows)), buckets).astype(np.int32)), batch.column(0).cast(pa.int64()), pa.array(np.array(sizes, np.int64)), pa.array(own), pa.nulls(len(own), pa.binary())],
                 names=["p", "doc_id", "n", "key", "blob"],
             )
         yield from flush()
