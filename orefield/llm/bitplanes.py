@@ -64,10 +64,12 @@ def from_frame(chunks: bytes, planes: bytes, n: int, kind: str = "bytes") -> np.
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", kind: str = "bytes") -> None:
+def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", kind: str = "bytes", specials: bool = False) -> None:
     """Write the ids of every whole text, each with end_id after it, in ascending order of id to path.
 
-    definition is the text of a tokenizers file.  Null ids come first and stay
+    definition is the text of a tokenizers file.  With specials, the written
+    names of its special tokens are those tokens, as the library reads them by
+    default; else they are text, so that a text can't forge one.  Null ids come first and stay
     null; a null text is empty; rows that share an id stand side by side, in an
     order that depends on their texts only.  Other columns are not looked at.
     No rows: tables without rows.
@@ -98,7 +100,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int, id_co
 
         for batch in batches:
             row = 0
-            for rows, own, n in enc.encode(batch.column(1)):
+            for rows, own, n in enc.encode(batch.column(1), specials):
                 own, n = np.insert(own.astype(np.uint32), np.cumsum(n), end_id), n + 1
                 ends = np.cumsum(n)
                 at = 0

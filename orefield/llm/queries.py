@@ -27,7 +27,7 @@ def op1_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orefield.llm import bitplanes, common
 
     path = common.scratch_path(spark, "tokens")
-    bitplanes.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_definition(), END_ID)
+    bitplanes.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_definition(), END_ID, specials=True)
     return bitplanes.read_tokens(spark, path)
 
 

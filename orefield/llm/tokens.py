@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -135,6 +136,11 @@ class Encoder:
             raise ValueError("added tokens that aren't special may stand anywhere in a text")
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        special = parts.get("added_tokens") or []
+        #: Ids of the special tokens by their written names; none where the file has more to say on how they are found.
+        self.specials = {x["content"].encode(): int(x["id"]) for x in special if not any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))}
+        self.plain_specials = len(self.specials) == len(special)
+        self.special = re.compile(b"|".join(re.escape(x) for x in sorted(self.specials, key=len, reverse=True)) or rb"(?!)")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.parted = np.ones((256, 256), bool)
@@ -220,13 +226,38 @@ class Encoder:
             chars = np.add.reduceat((data & 0xC0 != 0x80).astype(np.int64), starts) if len(starts) else starts
             yield rows, np.searchsorted(starts, offsets), chars, counts
 
-    def encode(self, column: pa.Array):
-        """(rows, all ids, number of ids of each row) of runs of rows; a null text is empty."""
+    def encode(self, column: pa.Array, specials: bool = False):
+        """(rows, all ids, number of ids of each row) of runs of rows; a null text is empty.
+
+        With specials, the written name of a special token is that token and a
+        border of the text on both sides; else it is text like any other.
+        """
+        if specials and not self.plain_specials:
+            raise ValueError("special tokens that take more or less than their written names aren't found")
         for _, rows, data, offsets in c.text_blocks(column):
+            if specials and self.special.search(data.tobytes()):
+                yield rows, *self._with_specials(data, offsets)
+                continue
             starts, counts, ids = self.block(data, offsets)
             sums = np.concatenate([[0], np.cumsum(counts)])
             yield rows, ids, np.diff(sums[np.searchsorted(starts, offsets)])
 
+    def _with_specials(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of each text; what stands between special tokens is encoded as a text of its own."""
+        raw = data.tobytes()
+        found = [(d, m) for d in range(len(offsets) - 1) for m in self.special.finditer(raw, offsets[d], offsets[d + 1])]
+        row = np.array([d for d, _ in found], np.int64)
+        begin, size = (np.array([x(m) for _, m in found], np.int64) for x in (re.Match.start, lambda m: len(m[0])))
+        gone = np.concatenate([[0], np.cumsum(size)])  # bytes of special tokens before each of them
+        keep = np.ones(len(data), bool)
+        keep[ragged(begin, size)] = False
+        at = begin - gone[:-1]
+        borders = offsets - gone[np.searchsorted(begin, offsets)]
+        starts, counts, ids = self.block(data[keep], np.sort(np.concatenate([borders, at])))
+        sums = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.insert(ids.astype(np.uint32), sums[np.searchsorted(starts, at)], [self.specials[m[0]] for _, m in found])
+        return ids, np.diff(sums[np.searchsorted(starts, borders)]) + np.bincount(row, minlength=len(offsets) - 1)
+
 
 c.forgetters.append(_encoders.clear)
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from orefield.llm import bitplanes, common, queries
 from orefield.llm.edit_counts import CountTree, count_trees, edit_counts, revisions
@@ -179,3 +180,38 @@ def test_token_query_against_the_library(spark, tiny):
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(tuple(r) for r in queries.op1_bitplane_tokens(spark, tiny).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+
+
+UNTOUCHED = Tokenizer.from_str(DEFINITION)
+END = "<|endoftext|>"
+
+
+def by_library(text):
+    """The ids of a text under the library's defaults, special tokens in it included."""
+    return UNTOUCHED.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from([END, "<|endof", "text|>", "a", " ", "'s", "é字", "\n", "  b,"]), max_size=9).map("".join)), max_size=6))
+def test_special_tokens_as_the_library_reads_them(texts):
+    got = [x.tolist() for _, ids, n in ENCODER.encode(pa.array(texts, pa.string()), specials=True) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [by_library(x or "") for x in texts]
+
+
+def test_special_tokens_that_strip_are_refused():
+    odd = Encoder(DEFINITION.replace('"lstrip": false', '"lstrip": true').replace('"lstrip":false', '"lstrip":true'))
+    with pytest.raises(ValueError):
+        list(odd.encode(pa.array(["a"]), specials=True))
+
+
+def test_token_query_of_texts_with_special_tokens(spark, tmp_path):
+    texts = [f"a  {END}\n b{END}{END}", None, END, "plain text", f"{END} x " * 3000, "", END[:5], END[5:]]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want, at = [], 0
+    for k, t in enumerate(texts):
+        ids = [*by_library(t or ""), 2]
+        want.append((k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = queries.op1_bitplane_tokens(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(tuple(r) for r in got) == want
