@@ -6,9 +6,9 @@ events.  The streaming counterparts are in orefield.streaming.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from orefield.operators.relational import numbered, top
+from orefield.operators.relational import numbered, place, top
 
 WINDOWS = (5, 25, 50, 100, 256)
 DECAY = 1e-6
@@ -26,23 +26,18 @@ def exact_window_counts(bits: DataFrame, windows: tuple[int, ...] = WINDOWS) ->
     return last.agg(*(F.coalesce(F.sum(F.when(F.col("seq") >= F.col("n") - w, F.col("bit"))), F.lit(0)).alias(f"w{w}") for w in windows)).select(F.explode(F.array(*(F.struct(F.lit(w).alias("window"), F.col(f"w{w}").cast("long").alias("ones")) for w in windows))).alias("x")).select("x.*")
 
 
-def _level(rank: Column, ones: Column) -> Column:
-    """The level of the bucket that holds the rank-th one from the newest (0 first), of ones in all.
+def _levels(ones: int) -> list[int]:
+    """How many newer ones each level of buckets has before it, of so many in all.
 
     Each size has one or two buckets, so their numbers are the digits of ones
     in bijective base 2, lowest first: level l begins after all lower digits.
     """
-    # digits d_l in {1, 2}: ones_0 = ones; d_l = 2 - ones_l mod 2; ones_{l+1} = (ones_l - d_l) / 2
-    start = F.struct(ones.alias("m"), F.lit(0).cast("long").alias("before"), F.lit(1).cast("long").alias("size"), F.lit(0).alias("level"), F.lit(-1).alias("found"), F.lit(0).cast("long").alias("bucket"))
-
-    def step(s: Column, _: Column) -> Column:
-        digit = F.when(s["m"] % 2 == 0, 2).otherwise(1)
-        until = s["before"] + s["size"] * digit
-        here = (s["found"] < 0) & (s["m"] > 0) & (rank < until)
-        which = F.floor((rank - s["before"]) / s["size"]).cast("long")
-        return F.struct(((s["m"] - digit) / 2).cast("long").alias("m"), until.cast("long").alias("before"), (s["size"] * 2).alias("size"), (s["level"] + 1).alias("level"), F.when(here, s["level"]).otherwise(s["found"]).alias("found"), F.when(here, which).otherwise(s["bucket"]).alias("bucket"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(61)), start, step)
+    out, before, size = [], 0, 1
+    while ones > 0:
+        digit = 2 if ones % 2 == 0 else 1
+        out.append(before)
+        before, size, ones = before + size * digit, size * 2, (ones - digit) // 2
+    return out
 
 
 def dgim_buckets(bits: DataFrame) -> DataFrame:
@@ -52,9 +47,11 @@ def dgim_buckets(bits: DataFrame) -> DataFrame:
     it.  bits has seq and bit.
     """
     ones = numbered(bits.where("bit = 1"), "seq", [], "i")
-    n = ones.agg(F.count("*").alias("m"))  # one row
-    own = ones.crossJoin(F.broadcast(n)).withColumn("l", _level(F.col("m") - 1 - F.col("i"), F.col("m")))
-    return own.groupBy(F.col("l.found").alias("level"), F.col("l.bucket").alias("bucket")).agg(F.count("*").alias("ones"), F.max("seq").alias("last"))
+    m = bits.where("bit = 1").count()
+    starts = _levels(m) or [0]
+    own = ones.withColumn("rank", F.lit(m - 1) - F.col("i")).withColumn("level", place(F.col("rank"), starts[1:]))
+    bucket = F.floor((F.col("rank") - F.element_at(F.array(*(F.lit(x).cast("long") for x in starts)), F.col("level") + 1)) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    return own.groupBy("level", bucket.alias("bucket")).agg(F.count("*").alias("ones"), F.max("seq").alias("last"))
 
 
 def dgim_counts(bits: DataFrame, windows: tuple[int, ...] = WINDOWS, whole_oldest: bool = False) -> DataFrame:
