@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orefield.operators import summaries as ops
 from orefield.plans.registry import query, table
-from orefield.sources.scratch import shared_path
+from orefield.sources.scratch import shared_path, written
 from orefield.sources.streams import replayed_files, write_replay
 from orefield.streaming import state
 
@@ -28,7 +28,8 @@ SELECT win::INT AS "window", coalesce(s - oldest + (oldest + 1) // 2, 0)::BIGINT
 
 def _ordered(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    return ops.ordered(events, "ts", "event_id").select("seq", F.col("event_type").alias("element"), (F.col("event_type") == "purchase").cast("int").alias("bit"))
+    # written, as each summary reads it several times
+    return written(ops.ordered(events, "ts", "event_id").select("seq", F.col("event_type").alias("element"), (F.col("event_type") == "purchase").cast("int").alias("bit")), "ordered")
 
 
 @query(f"WITH {_SEQ} {_DECAY}")
@@ -53,6 +54,8 @@ def reservoir(spark, sf_dir):
 
 #: Micro-batches of the streaming queries; elements of a user's sample.
 BATCHES, SAMPLE = 4, 20
+#: Events of a file of the replay, about: what one task sorts.
+FILE = 500_000
 
 _USERS = "seqs AS (SELECT user_id AS key, event_type, (event_type = 'purchase')::INT AS bit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 _USER_DGIM = f"""WITH RECURSIVE {_USERS}, {_WINDOWS}, ones AS (SELECT key, seq, n, count(*) OVER (PARTITION BY key) AS m, row_number() OVER (PARTITION BY key ORDER BY seq DESC) - 1 AS rank FROM seqs WHERE bit = 1),
@@ -69,11 +72,13 @@ _SAMPLED = f"""{_USERS}, placed AS (
 
 
 def _stream(spark, sf_dir):
-    """Events by user, replayed in BATCHES files, each a micro-batch."""
-    events, path = table(spark, sf_dir, "events"), shared_path(spark, "replay")
-    low, high = events.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
-    write_replay(events, path, "ts", max(1, -(-(high + 1 - low) // (BATCHES - 1))))
-    stream = replayed_files(spark, path, events.schema)
+    """Events by user, replayed in BATCHES micro-batches of one file each, or of as many as hold FILE events."""
+    events, path = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"), shared_path(spark, "replay")
+    low, high, n = events.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts")), F.count("*")).first()
+    files = -(-n // ((BATCHES - 1) * FILE)) or 1
+    # files follow each other in time, so a batch of several is in order, whichever they are
+    write_replay(events, path, "ts", max(1, -(-(high + 1 - low) // ((BATCHES - 1) * files))))
+    stream = replayed_files(spark, path, events.schema, files)
     return stream.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", F.col("event_type").alias("element"), (F.col("event_type") == "purchase").cast("int").alias("bit"))
 
 

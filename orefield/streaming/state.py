@@ -23,9 +23,12 @@ def _places(seq: str | tuple[str, ...]) -> list[Column]:
     return [F.col(x).cast("long").alias(f"seq{k}") for k, x in enumerate((seq,) if isinstance(seq, str) else seq)]
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(list(batches))
-    return rows.sort_values([x for x in rows.columns if x.startswith("seq")])
+def _in_order(batches: Iterator[pd.DataFrame], column: str) -> np.ndarray:
+    """A column's values in the order of the sequence columns, the first of them foremost."""
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+    keys = [rows[x].to_numpy() for x in rows.columns if x.startswith("seq")]
+    return rows[column].to_numpy()[np.lexsort(keys[::-1])]
 
 
 class Dgim:
@@ -62,8 +65,7 @@ def dgim_stream(bits: DataFrame, key: str = "key", seq: str | tuple[str, ...] =
         times, sizes, n = state.get if state.exists else ([], [], 0)
         cuts = np.cumsum([0, *sizes])
         d = Dgim([list(times[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], n)
-        rows = _in_order(batches)
-        for x in rows["bit"]:
+        for x in _in_order(batches, "bit"):
             d.push(int(x))
         state.update(([int(t) for level in d.levels for t in level], [len(level) for level in d.levels], d.n))
         yield pd.DataFrame({"key": k[0], "n": d.n, "window": list(windows), "ones": [d.estimate(w) for w in windows]})
@@ -81,15 +83,15 @@ def decayed_stream(elements: DataFrame, key: str = "key", seq: str | tuple[str,
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names, weights, n = state.get if state.exists else ([], [], 0)
         held = dict(zip(names, weights, strict=True))
-        rows = _in_order(batches)["element"].to_numpy()
+        rows = _in_order(batches, "element")
         m = len(rows)
         # what was held decays by m arrivals; an arrival by those after it
         held = {e: w * (1 - c) ** m for e, w in held.items()}
         age = (m - 1 - np.arange(m)).astype(float)
         if n == 0 and m:
             age[0] += 1
-        for e, w in pd.Series((1 - c) ** age).groupby(rows).sum().items():
-            held[e] = held.get(e, 0.0) + float(w)
+        for e, w in zip(rows, ((1 - c) ** age).tolist(), strict=True):
+            held[e] = held.get(e, 0.0) + w
         held = {e: w for e, w in held.items() if w >= least}
         state.update((list(held), list(held.values()), n + m))
         yield pd.DataFrame({"key": k[0], "n": n + m, "element": list(held), "weight": list(held.values())})
@@ -109,7 +111,7 @@ def reservoir_stream(elements: DataFrame, key: str = "key", seq: str | tuple[str
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         sample, n = state.get if state.exists else ([], 0)
         sample = list(sample)
-        for e in _in_order(batches)["element"]:
+        for e in _in_order(batches, "element"):
             if n < size:
                 sample.append(e)
             else:
